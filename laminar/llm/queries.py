@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminar.llm import bpe, chat, exact_dedup, packing
-from laminar.llm.common import table
+from laminar.llm import bpe, chat, exact_dedup, langid, packing, quality, topk, toxicity
+from laminar.llm.common import crc_mod, table
 
 
 def _vocabulary(name: str) -> str:
@@ -23,12 +23,35 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return quality.score(docs, model, 0.3).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known, model = langid.fit(docs, crc_mod("doc_id", 4) != 2)
+    return langid.predict(docs, known, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1, 1200))
+    return toxicity.score(docs, model, 0.7).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 #: The conversation whose texts hold this template's control strings.
 PLANTED = "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
 
@@ -48,7 +71,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op6_byte_bpe, op7_chat_format)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_top_k, op5_quality, op6_byte_bpe, op7_chat_format, op9_language_id, op10_toxicity)}
 
 
 _NORMAL = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
@@ -60,6 +83,16 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256({_NORMAL})
 SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM r
 """
 
+OP3 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0::DOUBLE * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                  CAST(coalesce(list_sum(list_transform(generate_series(1, least(len(q.v), len(c.v))), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INT) AS rank, vec_id, score FROM r WHERE k <= 5
+"""
+
 _ESCAPED = "replace(replace(replace(text, '~', '~0'), '<', '~1'), '[', '~2')"
 
 OP7 = f"""
@@ -75,4 +108,4 @@ FROM t GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op7_chat_format": OP7}
+    return {"op2_exact_dedup": OP2, "op3_top_k": OP3, "op7_chat_format": OP7}
