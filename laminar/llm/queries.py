@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminar.llm import bpe, chat, exact_dedup, langid, packing, quality, topk, toxicity
+from laminar.llm import bpe, chat, exact_dedup, langid, ngram_join, packing, quality, topk, toxicity
 from laminar.llm.common import crc_mod, table
 
 
@@ -28,6 +28,10 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
@@ -71,7 +75,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_top_k, op5_quality, op6_byte_bpe, op7_chat_format, op9_language_id, op10_toxicity)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_top_k, op4_ngram_join, op5_quality, op6_byte_bpe, op7_chat_format, op9_language_id, op10_toxicity)}
 
 
 _NORMAL = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
@@ -93,6 +97,18 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0::
 SELECT query_id, CAST(k AS INT) AS rank, vec_id, score FROM r WHERE k <= 5
 """
 
+OP4 = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                  ELSE list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+     e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+     r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)
+"""
+
 _ESCAPED = "replace(replace(replace(text, '~', '~0'), '<', '~1'), '[', '~2')"
 
 OP7 = f"""
@@ -108,4 +124,4 @@ FROM t GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op3_top_k": OP3, "op7_chat_format": OP7}
+    return {"op2_exact_dedup": OP2, "op3_top_k": OP3, "op4_ngram_join": OP4, "op7_chat_format": OP7}
