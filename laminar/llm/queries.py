@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminar.llm import bpe, chat, exact_dedup, langid, ngram_join, packing, quality, topk, toxicity
+from laminar.llm import bpe, chat, exact_dedup, langid, ngram_join, packing, quality, repeats, topk, toxicity
 from laminar.llm.common import crc_mod, table
 
 
@@ -44,6 +44,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known, model = langid.fit(docs, crc_mod("doc_id", 4) != 2)
@@ -75,7 +79,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_top_k, op4_ngram_join, op5_quality, op6_byte_bpe, op7_chat_format, op9_language_id, op10_toxicity)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_top_k, op4_ngram_join, op5_quality, op6_byte_bpe, op7_chat_format, op8_suffix_dedup, op9_language_id, op10_toxicity)}
 
 
 _NORMAL = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
