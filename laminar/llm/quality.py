@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-#: The statistics, in order; shares are of bytes unless said.
-STATS = ("n_bytes", "n_words", "word_bytes", "upper", "symbols", "marks", "pipes", "digits", "lines", "short_lines", "distinct_words", "distinct_lines", "long_words", "shouted")
+#: The statistics' columns, in order; shares are of bytes unless said.
+STATS = tuple(f"_stat_{x}" for x in ("bytes", "words", "word_bytes", "upper", "symbols", "marks", "pipes", "digits", "lines", "short_lines", "distinct_words", "distinct_lines", "long_words", "shouted"))
 
 _UPPER, _SYMBOL, _MARK = list(range(65, 91)), [ord(c) for c in "#$%&*@^~=+<>{}[]\\/_"], [ord(c) for c in "!?"]
 
@@ -42,18 +43,16 @@ def statistics(raw: bytes) -> tuple[float, ...]:
     )
 
 
-def with_statistics(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, the columns named in more (integers) and the statistics of every row's whole text."""
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """docs with all its columns and the statistics of every row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t.as_py().encode("utf-8", "replace")) for t in batch.column("text")]
+            rows = [statistics((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column("text")]
             cols = list(zip(*rows, strict=True)) or [()] * len(STATS)
-            kept = [batch.column(c).cast(pa.int64()) for c in ("doc_id", *more)]
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, pa.float64()) for c in cols]], ["doc_id", *more, *STATS])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.float64()) for c in cols]], [*batch.schema.names, *STATS])
 
-    schema = ", ".join([f"{c} long" for c in ("doc_id", *more)] + [f"{c} double" for c in STATS])
-    return docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(c, DoubleType()) for c in STATS]]))
 
 
 #: A rule: conditions (statistic, above?, threshold), all of which must hold.
@@ -153,16 +152,20 @@ def _lasso(rules: list[Rule], a: np.ndarray, y: np.ndarray, penalty: float, roun
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000) -> Ensemble:
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    own = labels.filter(learn & F.col("quality").isin(0, 1)).select("doc_id", "quality").withColumn("n", F.row_number().over(order))
-    own = own.filter(F.col("n") <= per_class).select("doc_id", F.col("quality").cast("long").alias("quality"))
-    # at most 2 * per_class rows, so the broadcast and what returns have a fixed bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
-    got = with_statistics(rows, "quality").toPandas().sort_values(["doc_id", "quality"])
+    own = labels.filter(learn).select("doc_id", F.col("quality").cast("long").alias("quality"))
+    # the first of each class by hash: at most 2 * per_class rows, so the broadcast and what returns have a fixed bound
+    first = [own.filter(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    rows = docs.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id")
+    got = with_statistics(rows).drop("text").toPandas().sort_values(["doc_id", "quality"])
     return Ensemble.fit(got[list(STATS)].to_numpy(np.float64), got["quality"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, model: Ensemble, threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted) for every row."""
-    scored = with_statistics(docs).select("doc_id", model.column().alias("score"))
+    scored = with_statistics(docs.select("doc_id", "text")).select("doc_id", model.column().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def passing(docs: DataFrame, model: Ensemble, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with their columns, whose score reaches the threshold."""
+    return with_statistics(docs).filter(model.column() >= threshold).drop(*STATS)
