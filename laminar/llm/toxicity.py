@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Lengths of n-grams in bytes, and bits of their hash.
@@ -88,9 +88,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, penalty: float = 0.03, rounds: in
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The features and labels of at most per_class toxic and twice as many clean rows, by a hash of doc_id."""
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    own = labels.filter(learn & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").withColumn("n", F.row_number().over(order))
-    own = own.filter(F.col("n") <= F.when(F.col("toxic") == 1, per_class).otherwise(2 * per_class)).select("doc_id", "toxic")
+    own = labels.filter(learn).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    first = [own.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((0, 2 * per_class), (1, per_class))]
+    own = first[0].unionByName(first[1])
     # at most 3 * per_class rows, so the broadcast has a fixed bound
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id")
 
