@@ -2,8 +2,8 @@
 
 Vocabularies come as a tokenizer file or as ranks; for ranks the merges are recovered by merging each token's bytes by
 the ranks below its own, and bytes map to characters by the byte-level alphabet. A text is cut where a single space
-stands between two visible characters: a pre-token of these patterns starts at each such space, so the pieces can be
-encoded apart, and each distinct piece is encoded once and kept in a bounded memo. Decoding reverses the byte table;
+or a line's end stands between two visible characters: a pre-token of these patterns starts at each such space, and a
+line's end is one of its own, so the pieces can be encoded apart; pieces that return are kept in a bounded memo. Decoding reverses the byte table;
 bytes are joined before they become text, so characters split over tokens come out whole.
 
 Cases: null and empty texts have no ids; special tokens' strings are ordinary text; texts of any length and any
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,12 @@ from pyspark.sql import functions as F
 
 #: A space between two visible characters; pieces start there. \x1c-\x1f and the like count as white space here, which only makes fewer cuts.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Distinct pieces kept by one worker.
-MEMO = 300_000
+#: White space besides the space and the line's end.
+OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words in a generation of a memo, and the length beyond which a word isn't kept.
+MEMO, LONG = 700_000, 64
+#: After letters, each of these is a pre-token of its own; so are letters with at most one space before them.
+SIGNS = frozenset(",.;:!?")
 #: Texts are encoded in runs of at most so many code points, so that memory stays bounded whatever the batch holds.
 RUN = 4_000_000
 
@@ -41,6 +46,12 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def odd(text: str) -> bool:
+    """Whether a space or a line's end may be no cut: it stands beside other white space or at an end, or there is white space of another kind."""
+    ends = text[:1] + text[-1:]
+    return " " in ends or "\n" in ends or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or OTHER.search(text) is not None
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -81,57 +92,79 @@ def tokenizer_from_file(path: str):
     return made
 
 
+class Memo(dict):
+    """word -> made(ids of prefix + word); two generations of at most MEMO words, so that frequent words stay."""
+
+    def __init__(self, tokenizer, prefix: str, made):
+        super().__init__()
+        self.tokenizer, self.prefix, self.made, self.old = tokenizer, prefix, made, {}
+        self.model, self.chars = tokenizer.model, dict(enumerate(byte_alphabet()))
+
+    def ids(self, word: str) -> list[int]:
+        if word.isalpha():
+            return self.merged(self.prefix + word)
+        if word[-1:] in SIGNS and word[:-1].isalpha():
+            return self.merged(self.prefix + word[:-1]) + self.merged(word[-1])
+        return self.tokenizer.encode(self.prefix + word, add_special_tokens=False).ids
+
+    def merged(self, piece: str) -> list[int]:
+        """The ids of one pre-token: its bytes become characters and go straight to the model."""
+        return [t.id for t in self.model.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.chars))]
+
+    def __missing__(self, word: str):
+        if (out := self.old.get(word)) is None:
+            out = self.made(self.ids(word))
+        if len(word) <= LONG:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[word] = out
+        return out
+
+
 class Codec:
-    """Encodes texts piece by piece with a memo, and decodes ids."""
+    """Encodes texts piece by piece with memos, and decodes ids."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.at = tokenizer, {}
-        self.ids: list[np.ndarray] = []
-        self.shown: list[tuple[str, bytes] | None] = []
+        self.tokenizer = tokenizer
         back = {c: b for b, c in enumerate(byte_alphabet())}
         self.bytes = [b""] * (max(tokenizer.get_vocab().values()) + 1)
         for shown, i in tokenizer.get_vocab().items():
             self.bytes[i] = bytes(back[c] for c in shown) if all(c in back for c in shown) else shown.encode()
+        self.raw = self.pieces(lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+        self.shown = self.pieces(lambda ids: (",".join(map(str, ids)), self.decode(ids)))
+
+    def pieces(self, made):
+        """A function from a text to what `made` makes of the ids of each of its pieces, in order."""
+        bare, spaced, line = (Memo(self.tokenizer, p, made) for p in ("", " ", "\n"))
+        first, later = bare.__getitem__, spaced.__getitem__
+
+        def cut(text: str) -> list:
+            if odd(text):
+                parts = CUT.split(text)
+                return [first(parts[0]), *map(later, parts[1:])]
+            out = []
+            for k, row in enumerate(text.split("\n")):
+                if k:
+                    out.append(line[""])
+                words = row.split(" ")
+                out.append(first(words[0]))
+                out += map(later, words[1:])
+            return out
 
-    def pieces(self, text: str) -> list[str]:
-        parts = CUT.split(text)
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
-    def fit(self, pieces: list[str]) -> np.ndarray:
-        """Each piece's place in the memo."""
-        if len(self.ids) > MEMO:
-            self.at, self.ids, self.shown = {}, [], []
-        get = self.at.get
-        places = [get(p, -1) for p in pieces]
-        if -1 in places:
-            new = list(dict.fromkeys(p for p, k in zip(pieces, places, strict=True) if k < 0))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.at[p] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.uint32))
-                self.shown.append(None)
-            get = self.at.__getitem__
-            places = [get(p) if k < 0 else k for p, k in zip(pieces, places, strict=True)]
-        return np.array(places, np.int64)
+        return cut
+
+    def encode_raw(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        return b"".join(self.raw(text))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for run in runs(texts):
-            cut = [self.pieces(t) for t in run]
-            places = self.fit([p for c in cut for p in c])
-            at = 0
-            for c in cut:
-                yield np.concatenate([self.ids[k] for k in places[at : at + len(c)]])
-                at += len(c)
-
-    def show(self, k: int) -> tuple[str, bytes]:
-        """The decimal ids, joined by commas, and the decoded bytes of the piece at a place in the memo."""
-        if (x := self.shown[k]) is None:
-            x = self.shown[k] = (",".join(map(str, self.ids[k].tolist())), self.decode(self.ids[k]))
-        return x
-
-    def decode(self, ids: np.ndarray) -> bytes:
+        return (np.frombuffer(self.encode_raw(t), "<u4") for t in texts)
+
+    def decode(self, ids) -> bytes:
         table = self.bytes
-        return b"".join([table[i] for i in ids.tolist()])
+        return b"".join([table[i] for i in ids])
 
 
 def runs(texts: list[str]) -> Iterator[list[str]]:
@@ -178,7 +211,7 @@ def decode(encoded: DataFrame, path: str, pattern: str | None = None) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            out = [own.decode(np.asarray(x.values if x.values is not None else [], np.int64)) for x in batch.column(1)]
+            out = [own.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
@@ -200,10 +233,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str | None = None) -> DataFr
             out = []
             for _, texts in _sliced(batch):
                 for text in texts:
-                    places = own.fit(own.pieces(text)).tolist()
-                    pairs = [own.show(k) for k in places]
+                    pairs = own.shown(text)
                     said, plain = ",".join([x for x, _ in pairs if x]), b"".join([x for _, x in pairs])
-                    out.append((sum([len(own.ids[k]) for k in places]), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(plain).hexdigest()))
+                    out.append((said.count(",") + 1 if said else 0, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(plain).hexdigest()))
             cols = list(zip(*out, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -36,8 +36,9 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> Dat
         for batch in batches:
             for at, texts in _sliced(batch):
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for doc, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), own.encode(texts), strict=True):
-                    raw, n = ids.astype("<u4").tobytes() + end_id.to_bytes(4, "little"), len(ids) + 1
+                for doc, text in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts, strict=True):
+                    raw = own.encode_raw(text) + end_id.to_bytes(4, "little")
+                    n = len(raw) // 4
                     cuts = [0, *range((n - 1) % size + 1, n + 1, size)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                         for col, x in zip(out, (doc, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])), strict=True):
