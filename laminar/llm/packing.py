@@ -80,7 +80,13 @@ def nnls(a: list[tuple[int, ...]], rows: dict[int, int], b: np.ndarray, rounds:
 
 
 def plan(histogram: dict[int, int], size: int) -> np.ndarray:
-    """Runs (length, first rank, how many, first sequence, offset), sorted by length and rank."""
+    """Runs (length, first rank, how many, first sequence, offset), sorted by length and rank.
+
+    Patterns are tried with more and with less slack and, for histograms that no pattern suits, with none; the fewest sequences win."""
+    return min((_plan(histogram, size, slack) for slack in (8, 1, None)), key=lambda x: x[0])[1]
+
+
+def _plan(histogram: dict[int, int], size: int, slack: int | None) -> tuple[int, np.ndarray]:
     left, taken = Counter({k: v for k, v in histogram.items() if v}), Counter()
     runs: list[tuple[int, int, int, int, int]] = []
     sequences = 0
@@ -92,7 +98,7 @@ def plan(histogram: dict[int, int], size: int) -> np.ndarray:
         taken[length] += n
         left[length] -= n
 
-    made = patterns(list(left), size)
+    made = patterns(list(left), size, slack) if slack is not None else []
     lengths = sorted(left)
     want = nnls(made, {x: i for i, x in enumerate(lengths)}, np.array([left[x] for x in lengths])) if made else []
     for pattern, x in sorted(zip(made, want, strict=True), key=lambda t: (-sum(t[0]), -t[1])):
@@ -128,7 +134,7 @@ def plan(histogram: dict[int, int], size: int) -> np.ndarray:
                 sequences += take
             if rest:
                 rooms.setdefault(rest, []).append((seq, take))
-    return np.array(sorted(runs), np.int64).reshape(-1, 5)
+    return sequences, np.array(sorted(runs), np.int64).reshape(-1, 5)
 
 
 def pack(cut: DataFrame, size: int = 2048) -> DataFrame:
