@@ -82,6 +82,10 @@ def _pair(asked: Column, more: Column | None, answer: Column) -> Column:
     )
 
 
+def _listed(items: Column, role: str, text: str) -> Column:
+    return F.transform(items, lambda m: F.struct(_role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+
+
 def _exploded(df: DataFrame, turns: Column) -> DataFrame:
     return df.select("conv_id", F.posexplode(turns).alias("turn", "t")).select("conv_id", F.col("turn").cast("long"), "t.role", "t.text")
 
@@ -93,7 +97,7 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
         return df.select(F.col(id_col).alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     if kind == "list":
         items, role, text = names
-        turns = F.transform(F.col(items), lambda m: F.struct(_role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+        turns = _listed(F.col(items), role, text)
     else:
         asked, more, answer = names
         turns = _pair(F.col(asked), F.col(more) if more else None, F.col(answer))
@@ -113,7 +117,7 @@ def canonical_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
             seen = [fields[0], *sorted(inner)]
             a, role, text = fields
             parsed = F.from_json(F.col(json_col), f"struct<`{a}`: array<struct<`{role}`: string, `{text}`: string>>>")
-            turns = F.transform(parsed[a], lambda m, role=role, text=text: F.struct(_role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+            turns = _listed(parsed[a], role, text)
         else:
             seen = sorted(paths)
             at = lambda f: F.get_json_object(F.col(json_col), f"$.{f}")
