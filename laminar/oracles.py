@@ -210,6 +210,8 @@ def oracle_sql() -> dict[str, str]:
         "dq_metrics_customers": _metrics("customers"),
         "dq_metrics_products": _metrics("products"),
         "dq_metrics_orders": _metrics(o),
+        "ops_latest_manifest": """SELECT layer, entity_name, run_id FROM (SELECT CAST(event_id AS VARCHAR) AS run_id, event_type AS layer, CAST(user_id % 10 AS VARCHAR) AS entity_name,
+            row_number() OVER (PARTITION BY event_type, user_id % 10 ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS k FROM events) e WHERE k = 1""",
         "qualifying_orders": _sql("SELECT * FROM q"),
         "gold_input_breakdown": _sql("""SELECT CAST(count(*) AS BIGINT) AS rows_total, CAST(count(*) FILTER (order_status = 'Completed' AND NOT is_orphan AND NOT is_deleted) AS BIGINT) AS rows_qualifying,
             CAST(count(*) FILTER (order_status = 'Pending') AS BIGINT) AS rows_pending, CAST(count(*) FILTER (order_status = 'Cancelled') AS BIGINT) AS rows_cancelled,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from laminar.functions.rules import annotate, predicates, violation
 from laminar.operators import checks, quality_report, state, survive
 from laminar.plans import dashboard, gold, reconcile
+from laminar.plans.manifest import latest_manifest
 from laminar.sources import adapters
 from laminar.specs import CUSTOMERS, ORDERS, PRODUCTS, Entity, Rule, orders_entity
 
@@ -389,6 +390,14 @@ def dq_metrics_orders(x: Layers) -> DataFrame:
     return quality_report.quality_metrics(x.annotated("orders"), ORDERS_HERE)
 
 
+@query
+def ops_latest_manifest(x: Layers) -> DataFrame:
+    """Events stand for runs: one row per layer and entity, the last by start."""
+    events = x.spark.read.parquet(f"{x.sf_dir}/events.parquet")
+    runs = events.select(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("layer"), (F.col("user_id") % 10).cast("string").alias("entity_name"), F.col("ts").alias("started_at"))
+    return latest_manifest(runs).select("layer", "entity_name", "run_id")
+
+
 # gold
 
 

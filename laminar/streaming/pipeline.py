@@ -229,11 +229,3 @@ def post_images(rows: DataFrame) -> DataFrame:
     if "_change_type" not in rows.columns:
         return rows
     return rows.filter(F.col("_change_type").isin("insert", "update_postimage"))
-
-
-def latest_manifest(manifest: DataFrame) -> DataFrame:
-    """The last run of each layer and entity."""
-    from pyspark.sql import Window
-
-    last = Window.partitionBy("layer", "entity_name").orderBy(F.desc("started_at"), F.desc("run_id"))
-    return manifest.withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k")

@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from laminar.plans import reconcile
+from laminar.plans.manifest import latest_manifest
 from laminar.sources import files, generator
 from laminar.sources.store import ConflictError, NullInRequiredColumn, Store, with_retry
 from laminar.specs import CUSTOMERS, ENTITIES, ORDERS, PRODUCTS
-from laminar.streaming.pipeline import Pipeline, latest_manifest, post_images
+from laminar.streaming.pipeline import Pipeline, post_images
 
 
 @pytest.fixture
