@@ -153,11 +153,17 @@ def _look(key: tuple, rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def lookup(rows: DataFrame, index: DataFrame, shards: int, salts: int) -> DataFrame:
-    """rows (doc_id, chars, size, digest), each with member, held_id, held_chars, held_size. A shard is held by `salts` tasks, so that no digest's rows meet in one."""
-    salt = F.pmod(F.xxhash64("doc_id", "chars"), F.lit(salts)).cast("int")
-    left = rows.select(_shard(shards).alias("shard"), salt.alias("salt"), "doc_id", "chars", "size", "digest")
-    right = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def lookup(rows: DataFrame, index: DataFrame, shards: int, tasks: DataFrame | None = None) -> DataFrame:
+    """rows (doc_id, chars, size, digest), each with member, held_id, held_chars, held_size.
+
+    tasks (shard, tasks): how many tasks hold a copy of a shard's index and share its rows, so that a digest's rows never meet in one; else one each."""
+    left, right = rows.withColumn("shard", _shard(shards)), index
+    if tasks is None:
+        left, right = left.withColumn("tasks", F.lit(1)), right.withColumn("tasks", F.lit(1))
+    else:
+        left, right = left.join(tasks, "shard"), right.join(tasks, "shard")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("doc_id", "chars"), F.col("tasks")).cast("int")).select("shard", "salt", "doc_id", "chars", "size", "digest")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
     out = "doc_id long, chars long, size long, digest binary, member boolean, held_id long, held_chars long, held_size long"
     return left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(_look, out)
 
@@ -176,7 +182,7 @@ def absorb(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
     if history is None:
         history = spark.createDataFrame([], HISTORY)
     shards = _shards(spark, max(fresh.count(), history.count()))
-    met = lookup(fresh, build_index(history, shards), shards, 1)
+    met = lookup(fresh, build_index(history, shards), shards)
     held = met.filter("member").select("digest", F.col("held_id").alias("doc_id"), F.col("held_chars").alias("chars"), F.col("held_size").alias("size"))
     updated = winners(met.filter("member").select("digest", "doc_id", "chars", "size").unionByName(held))
     apart = winners(met.filter("not member").select("digest", "doc_id", "chars", "size"))
@@ -187,9 +193,11 @@ def absorb(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
 def judge(rows: DataFrame, history: DataFrame) -> DataFrame:
     """One row per row of digests(): doc_id, keep_id, group_size, kept, text_sha256, all from the history's index."""
     n, total = history.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    shards = _shards(rows.sparkSession, n)
-    salts = max(1, -(-total // (shards * LOOKUP_ROWS)), min(8, total // (shards * 256)))
-    seen = lookup(rows.withColumn("size", F.lit(1).cast("long")), build_index(history, shards), shards, salts)
+    spark = rows.sparkSession
+    shards = _shards(spark, n)
+    share = min(LOOKUP_ROWS, max(256, total // (4 * partitions(spark))))
+    tasks = history.groupBy(_shard(shards).alias("shard")).agg(F.ceil(F.sum("size") / share).cast("int").alias("tasks"))
+    seen = lookup(rows.withColumn("size", F.lit(1).cast("long")), build_index(history, shards), shards, tasks)
     return seen.select(
         "doc_id",
         F.col("held_id").alias("keep_id"),
