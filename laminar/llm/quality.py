@@ -112,7 +112,8 @@ class Ensemble:
             leaves = {r: v for r, v in nodes if not any(q[: len(r)] == r and len(q) > len(r) for q, _ in nodes)}
             for rule, v in leaves.items():
                 margin += 2.0 * v * holds(rule, x)
-        rules = list(found)
+        if not (rules := list(found)):
+            return cls([], np.zeros(0), float(np.log(share / (1 - share))))
         a = np.stack([holds(r, x) for r in rules], 1).astype(np.float64)
         # identical rules carry no more than one
         _, first = np.unique(a, axis=1, return_index=True)
