@@ -48,10 +48,13 @@ class Layers:
         return self._once(("split", name), lambda: survive.split(self.annotated(name), ENTITIES[name]))
 
     def silver(self, name: str) -> DataFrame:
-        """The conformed table, some rows of which are marked as deleted."""
+        """The conformed table, some rows of which are marked as deleted.
+
+        It is materialised, as silver is: what reads it doesn't validate bronze again. Spark finds it by its plan, so that
+        all queries of a session over the same folder share one copy, which spills to disk and is rebuilt if it is lost."""
         e = ENTITIES[name]
         gone = F.col(e.key) % DELETED[name] == 0
-        return self._once(("silver", name), lambda: survive.prepared(self.split(name).passed, e, stamp()).withColumn("_is_deleted", gone))
+        return self._once(("silver", name), lambda: survive.prepared(self.split(name).passed, e, stamp()).withColumn("_is_deleted", gone).persist())
 
     def parents(self) -> dict[str, DataFrame]:
         return {n: self.silver(n) for n in ("customers", "products")}
