@@ -59,7 +59,7 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -60.0), 60.0))))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, penalty: float = 0.03, rounds: int = 80) -> Model:
+def fit(rows: list[np.ndarray], y: np.ndarray, penalty: float = 0.03, rounds: int = 150) -> Model:
     """rows: the features of each text; y: 1 for toxic. Features of a few texts, or that say little, are left out."""
     size = 1 << BITS
     share = float(y.mean()) if len(y) else 0.0
@@ -70,13 +70,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, penalty: float = 0.03, rounds: in
     for r, toxic in zip(rows, y, strict=True):
         (p if toxic else q)[r] += 1
     ratio = np.log((p / (2 + (y == 1).sum())) / (q / (2 + (y == 0).sum())))
-    ratio[(p + q < 8) | (np.abs(ratio) < 0.3)] = 0
+    ratio[(p + q < 8) | (np.abs(ratio) < 1.5)] = 0
     rows = [r[ratio[r] != 0].astype(np.int32) for r in rows]
     at, doc = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     x = ratio[at]
     # gradient descent with momentum on the mean logistic loss
     w, b, vw, vb = np.zeros(size), float(np.log(share / (1 - share))), np.zeros(size), 0.0
-    rate = 0.4 * len(rows) ** 0.5 / max(np.bincount(doc, weights=x * x, minlength=len(rows)).mean(), 1e-9)
+    rate = 0.8 * len(rows) ** 0.5 / max(np.bincount(doc, weights=x * x, minlength=len(rows)).mean(), 1e-9)
     for _ in range(rounds):
         z = np.bincount(doc, weights=x * w[at], minlength=len(rows)) + b
         d = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / len(rows)
