@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from laminar.functions.rules import annotate, predicates, violation
 from laminar.operators import checks, quality_report, state, survive
 from laminar.plans import dashboard, gold, reconcile
 from laminar.plans.manifest import latest_manifest
 from laminar.sources import adapters
+from laminar.sources.store import Store, shared_dir
 from laminar.specs import CUSTOMERS, ORDERS, PRODUCTS, Entity, Rule, orders_entity
 
 ORDERS_HERE = orders_entity(adapters.FIRST_DAY)
@@ -50,11 +53,17 @@ class Layers:
     def silver(self, name: str) -> DataFrame:
         """The conformed table, some rows of which are marked as deleted.
 
-        It is materialised, as silver is: what reads it doesn't validate bronze again. Spark finds it by its plan, so that
-        all queries of a session over the same folder share one copy, which spills to disk and is rebuilt if it is lost."""
+        It is written and read back, as silver is: what reads it doesn't validate bronze again, and its plan is a scan."""
         e = ENTITIES[name]
-        gone = F.col(e.key) % DELETED[name] == 0
-        return self._once(("silver", name), lambda: survive.prepared(self.split(name).passed, e, stamp()).withColumn("_is_deleted", gone).persist())
+
+        def make() -> DataFrame:
+            rows = survive.prepared(self.split(name).passed, e, stamp()).withColumn("_is_deleted", F.col(e.key) % DELETED[name] == 0)
+            store, table = Store(self.spark, f"{shared_dir(self.spark)}/layers-{uuid.uuid4().hex}"), f"silver/{name}"
+            store.create(table, T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields]))
+            store.replace(table, rows, None)
+            return store.read(table)
+
+        return self._once(("silver", name), make)
 
     def parents(self) -> dict[str, DataFrame]:
         return {n: self.silver(n) for n in ("customers", "products")}
@@ -536,5 +545,13 @@ def count_distinct_days(x: Layers) -> DataFrame:
     return reconcile.distinct_days(x.qualifying(), x.days())
 
 
+def layers(spark: SparkSession, sf_dir: str) -> Layers:
+    """One set of relations per session and folder; its tables are taken not to change while the session lasts."""
+    held = spark.__dict__.setdefault("_laminar_layers", {})
+    if sf_dir not in held:
+        held[sf_dir] = Layers(spark, sf_dir)
+    return held[sf_dir]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, f=f: f(Layers(spark, sf_dir)) for name, f in QUERIES.items()}
+    return {name: lambda spark, sf_dir, f=f: f(layers(spark, sf_dir)) for name, f in QUERIES.items()}
