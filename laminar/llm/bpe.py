@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from laminar.llm.common import kept
+
 #: A space between two visible characters; pieces start there. \x1c-\x1f and the like count as white space here, which only makes fewer cuts.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space besides the space and the line's end.
@@ -180,7 +182,7 @@ def runs(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
-_CODECS: dict[tuple, Codec] = {}
+_CODECS: dict[tuple, Codec] = kept({})
 
 
 def codec(path: str, pattern: str | None = None) -> Codec:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +21,9 @@ def scratch_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark.sparkContext, "_laminar_scratch", None)
     if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="laminar-")
+        made = tempfile.mkdtemp(prefix="laminar-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        own = f"file://{made}"
         spark.sparkContext._laminar_scratch = own
     return own
 
@@ -28,7 +33,53 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/laminar-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._laminar_path = path
+    _scratch(spark).append(path)
+    return written
+
+
+def _scratch(spark: SparkSession) -> list[str]:
+    """The scratch tables that this session has written and not removed."""
+    context = spark.sparkContext
+    if not hasattr(context, "_laminar_tables"):
+        context._laminar_tables = []
+    return context._laminar_tables
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    _scratch(spark).remove(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a stash() that nothing reads any more."""
+    _remove(df.sparkSession, df._laminar_path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this session; results that haven't been written yet can't be read after that."""
+    for path in list(_scratch(spark)):
+        _remove(spark, path)
+
+
+#: Caches that a Python worker keeps between tasks.
+_KEPT: list[dict] = []
+
+
+def kept(cache: dict) -> dict:
+    """cache, to be emptied by release()."""
+    _KEPT.append(cache)
+    return cache
+
+
+def release() -> None:
+    """Empty the caches that other operators have left in this worker, for operators that need the memory themselves."""
+    if any(_KEPT):
+        for cache in _KEPT:
+            cache.clear()
+        gc.collect()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laminar.llm.common import partitions, stash
+from laminar.llm.common import partitions, release, stash
 
 #: Bytes of a repeat, of a k-gram; the k-grams in a string.
 LEAST, GRAM = 50, 24
 WIDE = LEAST - GRAM + 1
 #: Window starts taken at a time; bytes of text in a group of documents; anchors and runs in a bucket.
-PART, GROUP, BUCKET = 1 << 19, 4_000_000, 400_000
+PART, GROUP, BUCKET = 1 << 19, 2_000_000, 150_000
 SEED = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 #: MULT to the powers 1, 2, 4, ...
 MULT = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(8)]
@@ -168,6 +168,7 @@ def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, grp, hashes, many): the distinct anchors of each batch's documents by group; many: in more than one document there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = [t.as_py().encode("utf-8", "replace") for t in batch.column("text")]
             text, ends = _together(texts)
@@ -241,6 +242,7 @@ class Held:
 
 def _hold(docs: pd.DataFrame, shared: pd.DataFrame) -> Held:
     """docs: _id and text, in the same order whatever order the rows came in."""
+    release()
     docs = docs.sort_values(["_id", "text"], kind="stable")
     ids = docs["_id"].to_numpy(np.int64)
     texts = [t.encode("utf-8", "replace") for t in docs["text"]]
@@ -339,6 +341,7 @@ FOUND = "grp int, numbers binary, starts binary, lengths binary, least binary"
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     """All runs of a bucket -> for each group of documents the maximal repeats of its runs that reach beyond their first holder."""
+    release()
     numbers, owner, anchors, least, single = [], [], [], [], []
     known: dict[bytes, int] = {}
     which = []
