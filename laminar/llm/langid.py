@@ -5,7 +5,8 @@ of labelled texts. A text is cut into consecutive windows of fixed length (the l
 prediction is the mean of all its windows' probabilities. For use, embedding and filters fold into tables indexed by
 byte pairs, so a window costs a few table rows per byte.
 
-The fit takes at most `per_lang` labelled rows of each language, the first by a hash of doc_id, and one window of each.
+The fit takes at most `per_lang` labelled rows of each language (of the LANGUAGES most frequent), by hashes of doc_id, and one
+window of each.
 
 Cases: a null text, and one without a letter, is `und` with score 0; shorter texts are padded with zero bytes; ties go to
 the language first in order; rows that repeat get equal results; labels that are null teach nothing; without any label
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Bytes in a window, dimensions of a byte's embedding, widths of filters, filters of each width.
 LENGTH, DIMS, WIDTHS, FILTERS = 192, 12, (2, 3, 4), 16
+#: Languages learnt, the most frequent ones.
+LANGUAGES = 256
 #: Windows convolved at a time.
 STEP = 512
 LETTER = regex.compile(r"\p{L}")
@@ -132,6 +135,10 @@ def sample(docs: DataFrame, learn: Column, per_lang: int) -> tuple[np.ndarray, l
     """At most per_lang windows of each language, by a hash of doc_id, and their labels."""
     key = F.xxhash64("doc_id")
     own = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # a few times per_lang rows of each language by hash, so that no task has to rank a language's every row
+    most = own.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES)
+    share = most.select(F.col("lang").alias("_lang"), (4.0 * per_lang / F.col("_n")).alias("_share"))
+    own = own.join(F.broadcast(share), F.col("lang") == F.col("_lang")).filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
     order = Window.partitionBy("lang").orderBy("_k", "doc_id")
     at = F.pmod(key, F.greatest(F.length("text") - LENGTH, F.lit(1))).cast("int") + 1
     cut = own.select("doc_id", "lang", key.alias("_k"), F.col("text").substr(at, F.lit(LENGTH)).alias("part"))
@@ -141,13 +148,13 @@ def sample(docs: DataFrame, learn: Column, per_lang: int) -> tuple[np.ndarray, l
     return np.array(x, np.uint8).reshape(-1, LENGTH), [lang for lang, _ in rows]
 
 
-def fit(docs: DataFrame, learn: Column, per_lang: int = 2000) -> tuple[list[str], Folded | None]:
+def fit(docs: DataFrame, learn: Column, per_lang: int = 1000) -> tuple[list[str], Folded | None]:
     x, langs = sample(docs, learn, per_lang)
     known = sorted(set(langs))
     if not known:
         return [], None
     y = np.array([known.index(v) for v in langs])
-    return known, Network(len(known)).fit(x, y, epochs=max(4, min(40, 24000 // len(x)))).folded()
+    return known, Network(len(known)).fit(x, y, epochs=max(4, min(40, 28000 // len(x)))).folded()
 
 
 def predict(docs: DataFrame, known: list[str], model: Folded | None) -> DataFrame:
