@@ -35,12 +35,20 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._laminar_path = path
-    _scratch(spark).append(path)
+    scratch(spark).append(path)
+    sweep(spark)
     return written
 
 
-def _scratch(spark: SparkSession) -> list[str]:
-    """The scratch tables that this session has written and not removed."""
+def sweep(spark: SparkSession) -> None:
+    """Let go of what finished jobs hold. Spark removes the shuffle files and broadcasts of a plan when the driver collects it,
+    which a driver with a large heap may do hours later; a pipeline of many written tables would hold them all."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def scratch(spark: SparkSession) -> list[str]:
+    """The scratch tables that this session has written and not removed, in order."""
     context = spark.sparkContext
     if not hasattr(context, "_laminar_tables"):
         context._laminar_tables = []
@@ -50,17 +58,26 @@ def _scratch(spark: SparkSession) -> list[str]:
 def _remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-    _scratch(spark).remove(path)
+    scratch(spark).remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the tables of stash() that nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df._laminar_path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the table of a stash() that nothing reads any more."""
-    _remove(df.sparkSession, df._laminar_path)
+def discard_since(spark: SparkSession, mark: int, *but: DataFrame) -> None:
+    """Remove the tables written since len(scratch(spark)) was mark, but for some."""
+    stay = {df._laminar_path for df in but}
+    for path in scratch(spark)[mark:]:
+        if path not in stay:
+            _remove(spark, path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
+def clearscratch(spark: SparkSession) -> None:
     """Remove all scratch tables of this session; results that haven't been written yet can't be read after that."""
-    for path in list(_scratch(spark)):
+    for path in list(scratch(spark)):
         _remove(spark, path)
 
 

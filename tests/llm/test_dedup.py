@@ -128,11 +128,11 @@ def test_signatures_never_rule_out_a_link():
 
 def test_scratch_tables_can_be_cleared(spark):
     df = common.stash(spark.range(3), "t")
-    assert df.count() == 3 and df._laminar_path in common._scratch(spark)
+    assert df.count() == 3 and df._laminar_path in common.scratch(spark)
     common.discard(df)
     common.stash(spark.range(3), "t")
     common.clear_scratch(spark)
-    assert common._scratch(spark) == []
+    assert common.scratch(spark) == []
 
 
 def test_graph_components(spark):
