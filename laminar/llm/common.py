@@ -99,6 +99,16 @@ def release() -> None:
         gc.collect()
 
 
+def plain(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs with all columns but `keep` renamed c0, c1, ..., so that no name a caller uses can clash with one used here."""
+    return docs.toDF(*[c if c in keep else f"c{k}" for k, c in enumerate(docs.columns)])
+
+
+def as_in(df: DataFrame, docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns of plain(docs, *keep) that df still has, under their own names and in their order."""
+    return df.select(*plain(docs, *keep).columns).toDF(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

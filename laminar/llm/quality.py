@@ -8,7 +8,8 @@ The fit takes at most `per_class` labelled rows of each class, the first by a ha
 
 Cases: a null text equals an empty one, whose statistics are all zero; repeated rows get equal results; labels other
 than 0 and 1 teach nothing; without labels of both classes every score is the share of label 1 (1 without labels, so
-nothing is rejected); extra columns are left out; an empty table gives an empty result.
+nothing is rejected); a null doc_id is scored like any other; extra columns, whatever their names, are left out by score() and kept by
+passing(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from laminar.llm.common import as_in, plain
+
 #: The statistics' columns, in order; shares are of bytes unless said.
 STATS = tuple(f"_stat_{x}" for x in ("bytes", "words", "word_bytes", "upper", "symbols", "marks", "pipes", "digits", "lines", "short_lines", "distinct_words", "distinct_lines", "long_words", "shouted"))
 
@@ -169,4 +172,4 @@ def score(docs: DataFrame, model: Ensemble, threshold: float = 0.3) -> DataFrame
 
 def passing(docs: DataFrame, model: Ensemble, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, with their columns, whose score reaches the threshold."""
-    return with_statistics(docs).filter(model.column() >= threshold).drop(*STATS)
+    return as_in(with_statistics(plain(docs, "text")).filter(model.column() >= threshold), docs, "text")

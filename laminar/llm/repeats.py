@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laminar.llm.common import partitions, release, stash
+from laminar.llm.common import partitions, plain, release, stash
 
 #: Bytes of a repeat, of a k-gram; the k-grams in a string.
 LEAST, GRAM = 50, 24
@@ -456,9 +456,11 @@ def removed_digests(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with shortened texts (null becomes empty), all other columns as they were, and _lost: the bytes removed.
+    """docs with shortened texts (null becomes empty), all other columns as they were, and _lost: the bytes removed (in place of a column
+    of that name).
 
     Spans are cut at characters: one of which only some bytes repeat stays whole."""
-    own, rows = _plan(docs)
+    docs = docs.drop("_lost")
+    own, rows = _plan(plain(docs, "doc_id", "text"))
     schema = own.drop("_id", "_grp").withColumn("_lost", F.lit(0).cast("long")).schema
-    return own.groupBy("_grp").cogroup(rows.groupBy("grp")).applyInArrow(_cut, schema)
+    return own.groupBy("_grp").cogroup(rows.groupBy("grp")).applyInArrow(_cut, schema).toDF(*docs.columns, "_lost")

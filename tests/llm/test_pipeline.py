@@ -8,11 +8,11 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from laminar.llm.common import stash
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, upper string, grp int, ids string, digest string, component_id long"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, upper string, _grp int, _id string, _same string, _lost long, _stat_words double, `a.b` string, same string"
 
 
 def documents(spark, rows):
-    return spark.createDataFrame([(k, t, "en", "s", len(t or ""), "u", 1, "i", "d", 5) for k, t in rows], COLUMNS)
+    return spark.createDataFrame([(k, t, "en", "s", len(t or ""), "u", 1, "i", "d", 5, 0.5, "x", "y") for k, t in rows], COLUMNS)
 
 
 def staged(spark, docs, sf_dir):
@@ -68,11 +68,24 @@ def test_odd_documents_and_clashing_columns(spark, taught):
     rows = [(1, None), (2, ""), (2, ""), (3, " \n"), (None, "a b"), (5, "é" * 30_000), (6, "<|endoftext|>")]
     for name, docs in staged(spark, documents(spark, rows), taught):
         if name != "packing":
-            assert docs.columns == [c.split()[0] for c in COLUMNS.split(", ")]
+            assert docs.columns == [c.split()[0].strip("`") for c in COLUMNS.split(", ")]
+            assert docs.filter("_grp <> 1 OR _id <> 'i' OR _same <> 'd' OR _lost <> 5 OR _stat_words <> 0.5 OR same <> 'y'").count() == 0
     for _, docs in staged(spark, documents(spark, []), taught):
         assert docs.count() == 0
 
 
+def test_near_copies_without_an_id_go(spark, taught):
+    rng = random.Random(4)
+    words = prose(rng, 200).split()
+    near = lambda k: " ".join([*words[:k], "other", *words[k + 1 :]])
+    rows = [(None, near(10)), (None, near(60)), (9, near(120)), (None, prose(rng, 100)), (4, "own words only")]
+    kept = corpus_pipeline.drop_near_copies(spark, stash(documents(spark, rows), "test"), taught).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == sorted([(9, near(120)), (-1, rows[3][1]), (4, "own words only")])
+    # without any id one of them stays
+    kept = corpus_pipeline.drop_near_copies(spark, stash(documents(spark, rows[:2]), "test"), taught).collect()
+    assert len(kept) == 1
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_whole_run_packs_what_is_left(spark, sf):
     rows = corpus_pipeline.run(spark, f"/root/testdata/{sf}").collect()
