@@ -109,6 +109,40 @@ def test_components_equal_brute_force(spark, monkeypatch, width, num, den, cap,
     assert got == brute_components(rows, width, num, den)
 
 
+def test_regions_recurse_to_the_third_shingle(spark, monkeypatch):
+    """With few rows allowed to a region, near copies are still apart only at level three; the result is the same."""
+    for name, value in (("CAP", 3), ("SPLIT", 4), ("LEAST", 8), ("BLOCK", 500)):
+        monkeypatch.setattr(ngram_join, name, value)
+    seen, places = [], ngram_join._places
+    monkeypatch.setattr(ngram_join, "_places", lambda rows, level, part="all": seen.append(level) or places(rows, level, part))
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(k, mutated(rng, base, rng.randint(0, 5))) for k in range(60)]
+    df = spark.createDataFrame([(k, t, "c", "c") for k, t in rows], DOCS)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(df, 2, 4, 5).collect()}
+    assert got == brute_components(rows, 2, 4, 5) and max(seen) == 3
+
+
+def test_cells_of_document_pivots_recurse(spark, monkeypatch):
+    """A chain of documents is one family without a dense middle: its cells are divided until they fit."""
+    for name, value in (("BLOCK", 6), ("CAP", 64)):
+        monkeypatch.setattr(ngram_join, name, value)
+    levels, pivoted = [], ngram_join._pivoted
+    monkeypatch.setattr(ngram_join, "_pivoted", lambda members, sizes, level, num, den: levels.append(level) or pivoted(members, sizes, level, num, den))
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[k : k + 60])) for k in range(120)]
+    df = spark.createDataFrame([(k, t, "c", "c") for k, t in rows], DOCS)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(df, 2, 19, 20).collect()}
+    assert got == brute_components(rows, 2, 19, 20) and max(levels) >= 2
+
+
+def test_rows_that_share_an_id_are_one_node(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a), (5, a), (5, b), (7, b), (7, ""), (8, ""), (None, b + " more"), (None, "alone of all"), (9, None)]
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 4, 5).collect())
+    assert got == sorted([(1, 28, 1), (5, 28, 1), (5, 28, 1), (7, 28, 1), (7, 0, 1), (8, 0, 8), (-1, 29, 1), (-1, 1, None), (9, 0, 9)])
+
+
 def test_long_texts_are_hashed_in_parts(monkeypatch):
     raw = ("word another " * 400 + "x" * 900 + " tail\ttail\x0bend").encode()
     whole = ngram_join.shingles(raw, 3)
