@@ -102,11 +102,14 @@ def brute_top(rows, k):
 @pytest.mark.parametrize(("block", "few"), [(4096, 24), (16, 24), (40, 0)])
 def test_top_k_equals_brute_force(spark, monkeypatch, block, few):
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "BOUNDS", 3)
     monkeypatch.setattr(topk, "FEW", few)
     rng = np.random.default_rng(block)
     rows = [(k, rng.normal(0, 0.2, 8).astype(np.float32).tolist()) for k in range(300)]
     rows += [(300 + k, rows[50][1]) for k in range(30)] + [(400, None), (401, [0.1, None]), (402, [float("nan")]), (403, [float("inf"), 1.0]), (450, []), (451, [0.5, -0.5]), (452, [1000.0] * 8), (500, [0.0] * 8)]
-    df = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<float>, label int")
+    none = [(None, rows[7][1], 1), (None, None, 1)]
+    df = spark.createDataFrame([(a, b, 1) for a, b in rows] + none, "vec_id long, embedding array<float>, label int")
     v = topk.integer_vectors(df)
     got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(v, v.filter(F.col("vec_id") % 50 == 0)).collect()}
     assert got == brute_top(rows, 5)
@@ -122,13 +125,48 @@ def test_top_k_of_few_or_no_vectors(spark):
 def test_bounds_prove_what_they_leave_out():
     rng = np.random.default_rng(3)
     v = rng.integers(-200, 200, (400, 16))
-    own = np.arange(20)
-    for q, may in zip(range(20), topk.Index(v).search(v[:20], own, np.arange(400), 5), strict=True):
+    own, made = np.arange(20), topk.Index.load(topk.Index.build(v).dump())
+    assert made.postings == np.count_nonzero(v) and np.array_equal(made.vectors(np.arange(400), 16), v)
+    for q, may in zip(range(20), made.search(v[:20], own, np.arange(400), 5)[0], strict=True):
         exact = v @ v[q]
         exact[q] = -(10**9)
         assert set(np.argsort(-exact, kind="stable")[:5]) <= set(may.tolist())
 
 
+def test_skewed_vectors_take_less_work_than_a_product():
+    rng = np.random.default_rng(5)
+    v = rng.integers(-3, 4, (2000, 64)) * (rng.random((2000, 64)) < 0.5)
+    v[np.arange(2000), rng.integers(0, 64, 2000)] = rng.integers(20_000, 60_000, 2000)
+    may, work = topk.Index.build(v).search(v[:50], np.arange(50), np.arange(2000), 5)
+    assert work < 0.6 * 50 * v.size and max(map(len, may)) < 200
+
+
+def test_promises_are_never_exceeded():
+    rng = np.random.default_rng(6)
+    q, v = rng.integers(-50, 50, (30, 12)), rng.integers(-80, 20, (90, 9))
+    low, high = v.reshape(9, 10, 9).min(1), v.reshape(9, 10, 9).max(1)
+    exact = (q[:, :9] @ v.T).reshape(30, 9, 10).max(2)
+    assert (topk.promises(q, low, high) >= exact).all()
+
+
+def test_blocks_below_the_mark_are_not_read(spark, monkeypatch):
+    """Vectors of 16 directions in blocks of their own: a query needs few of them."""
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    rows = [(k, [1.0 + 0.001 * (k % 40) if d == k // 40 else 0.01 for d in range(16)]) for k in range(640)]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    seen, real = [], topk._hits
+    monkeypatch.setattr(topk, "_hits", lambda work, index, k: seen.append((work.count(), index.count())) or real(work, index, k))
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(v, v.filter("vec_id = 50")).collect()}
+    assert got == {x for x in brute_top(rows, 5) if x[0] == 50}
+    assert seen[-1][0] < seen[-1][1] / 3
+
+
+def test_scores_beyond_a_long_are_refused(spark):
+    v = topk.integer_vectors(spark.createDataFrame([(0, [3e38]), (1, [1.0]), (2, [2.0])], "vec_id long, embedding array<float>"))
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(v, v.filter("vec_id = 0")).collect()
+
+
 def test_column_expression_equals_the_model(spark):
     rng = np.random.default_rng(0)
     x = rng.random((800, len(quality.STATS)))
