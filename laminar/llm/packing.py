@@ -8,7 +8,7 @@ among those of its length from a range sort, which splits a length that many pie
 search, so no task ever holds the pieces of a length or of a pattern.
 
 Cases: a null or empty text is the single end-of-document id; ties and repeated rows are packed one by one; texts of any length
-are cut into pieces of `size`, the first one shorter; extra columns are left out; an empty table gives an empty result.
+are cut into pieces of `size`, the first one shorter; a null doc_id is packed like any other; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,14 +62,15 @@ def patterns(lengths: list[int], size: int, slack: int = 8, most: int = 4000) ->
     return list(dict.fromkeys(out + rest[: max(0, most - len(out))]))
 
 
-def nnls(a: list[tuple[int, ...]], rows: dict[int, int], b: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Non-negative least squares by projected coordinate descent over sparse columns: column j has its pattern's lengths."""
+def nnls(a: list[tuple[int, ...]], rows: dict[int, int], b: np.ndarray, weights: np.ndarray | float = 1.0, rounds: int = 300) -> np.ndarray:
+    """Non-negative least squares by projected coordinate descent over sparse columns: column j has its pattern's lengths. weights: of the rows."""
     cols = [(np.array([rows[x] for x in c]), np.array(list(c.values()), float)) for c in map(Counter, a)]
-    x, left = np.zeros(len(a)), b.astype(float).copy()
+    x, left, weights = np.zeros(len(a)), b.astype(float).copy(), np.broadcast_to(np.square(weights, dtype=float), len(b))
+    scale = [float(weights[at] @ (v * v)) for at, v in cols]
     for _ in range(rounds):
         moved = 0.0
         for j, (at, v) in enumerate(cols):
-            step = max(-x[j], float(v @ left[at]) / float(v @ v))
+            step = max(-x[j], float((weights[at] * v) @ left[at]) / scale[j])
             if step:
                 x[j] += step
                 left[at] -= step * v
@@ -80,13 +81,21 @@ def nnls(a: list[tuple[int, ...]], rows: dict[int, int], b: np.ndarray, rounds:
 
 
 def plan(histogram: dict[int, int], size: int) -> np.ndarray:
-    """Runs (length, first rank, how many, first sequence, offset), sorted by length and rank.
+    """Runs (length, first rank, how many, first sequence, offset), sorted by length and rank."""
+    return _best(histogram, size)[2]
 
-    Patterns are tried with more and with less slack and, for histograms that no pattern suits, with none; the fewest sequences win."""
-    return min((_plan(histogram, size, slack) for slack in (8, 1, None)), key=lambda x: x[0])[1]
 
+def by_patterns(histogram: dict[int, int], size: int) -> int:
+    """How many pieces the plan places as parts of patterns; the rest are residuals."""
+    return _best(histogram, size)[1]
 
-def _plan(histogram: dict[int, int], size: int, slack: int | None) -> tuple[int, np.ndarray]:
+
+def _best(histogram: dict[int, int], size: int) -> tuple[int, int, np.ndarray]:
+    """Of fits with more and less slack, of patterns of up to four, three and two pieces, the one of fewest sequences; then of most pieces in patterns."""
+    return min((_plan(histogram, size, slack, parts) for parts in (4, 3, 2) for slack in (8, 1, 0)), key=lambda x: (x[0], -x[1]))
+
+
+def _plan(histogram: dict[int, int], size: int, slack: int, parts: int = 4) -> tuple[int, int, np.ndarray]:
     left, taken = Counter({k: v for k, v in histogram.items() if v}), Counter()
     runs: list[tuple[int, int, int, int, int]] = []
     sequences = 0
@@ -98,12 +107,13 @@ def _plan(histogram: dict[int, int], size: int, slack: int | None) -> tuple[int,
         taken[length] += n
         left[length] -= n
 
-    made = patterns(list(left), size, slack) if slack is not None else []
+    made = [p for p in patterns(list(left), size, slack) if len(p) <= parts]
     lengths = sorted(left)
-    want = nnls(made, {x: i for i, x in enumerate(lengths)}, np.array([left[x] for x in lengths])) if made else []
+    # in tokens, for what is left of long pieces is hard to place
+    want = nnls(made, {x: i for i, x in enumerate(lengths)}, np.array([left[x] for x in lengths]), np.array(lengths)) if made else []
     for pattern, x in sorted(zip(made, want, strict=True), key=lambda t: (-sum(t[0]), -t[1])):
-        parts = Counter(pattern)
-        if n := min([int(x), *(left[k] // v for k, v in parts.items())]):
+        needs = Counter(pattern)
+        if n := min([int(x), *(left[k] // v for k, v in needs.items())]):
             at = 0
             for length in sorted(pattern, reverse=True):
                 put(length, n, sequences, at)
@@ -111,6 +121,7 @@ def _plan(histogram: dict[int, int], size: int, slack: int | None) -> tuple[int,
             if at < size:
                 rooms.setdefault(size - at, []).append((sequences, n))
             sequences += n
+    fitted = sum(taken.values())
     for length in sorted(left, reverse=True):
         while left[length]:
             if fits := [r for r in rooms if r >= length]:
@@ -134,7 +145,7 @@ def _plan(histogram: dict[int, int], size: int, slack: int | None) -> tuple[int,
                 sequences += take
             if rest:
                 rooms.setdefault(rest, []).append((seq, take))
-    return sequences, np.array(sorted(runs), np.int64).reshape(-1, 5)
+    return sequences, fitted, np.array(sorted(runs), np.int64).reshape(-1, 5)
 
 
 def pack(cut: DataFrame, size: int = 2048) -> DataFrame:
