@@ -5,12 +5,14 @@ of labelled texts. A text is cut into consecutive windows of fixed length (the l
 prediction is the mean of all its windows' probabilities. For use, embedding and filters fold into tables indexed by
 byte pairs, so a window costs a few table rows per byte.
 
-The fit takes at most `per_lang` labelled rows of each language (of the LANGUAGES most frequent), by hashes of doc_id, and one
-window of each.
+The fit takes at most `per_lang` labelled rows of each language, and ROWS in all, by hashes of doc_id, and one window of each: the more
+languages there are, the fewer rows teach each of them, but every language is learnt. Windows are convolved in batches of STEP,
+whichever documents they come from; a long text spans several batches.
 
 Cases: a null text, and one without a letter, is `und` with score 0; shorter texts are padded with zero bytes; ties go to
 the language first in order; rows that repeat get equal results; labels that are null teach nothing; without any label
-every prediction is `und`; extra columns are left out; an empty table gives an empty result.
+every prediction is `und`; a lang column with more than ROWS values holds no languages and raises ValueError; a null doc_id is
+predicted like any other; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 #: Bytes in a window, dimensions of a byte's embedding, widths of filters, filters of each width.
 LENGTH, DIMS, WIDTHS, FILTERS = 192, 12, (2, 3, 4), 16
-#: Languages learnt, the most frequent ones.
-LANGUAGES = 256
+#: Windows that teach, of all languages together.
+ROWS = 200_000
 #: Windows convolved at a time.
 STEP = 512
 LETTER = regex.compile(r"\p{L}")
@@ -136,8 +138,13 @@ def sample(docs: DataFrame, learn: Column, per_lang: int) -> tuple[np.ndarray, l
     key = F.xxhash64("doc_id")
     own = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # a few times per_lang rows of each language by hash, so that no task has to rank a language's every row
-    most = own.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES)
-    share = most.select(F.col("lang").alias("_lang"), (4.0 * per_lang / F.col("_n")).alias("_share"))
+    langs = own.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    many = langs.limit(ROWS + 1).count()
+    if many > ROWS:
+        raise ValueError(f"more than {ROWS} values of lang")
+    per_lang = max(1, min(per_lang, ROWS // max(1, many)))
+    # ROWS rows at most
+    share = langs.select(F.col("lang").alias("_lang"), (4.0 * per_lang / F.col("_n") + 20 / F.col("_n")).alias("_share"))
     own = own.join(F.broadcast(share), F.col("lang") == F.col("_lang")).filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
     order = Window.partitionBy("lang").orderBy("_k", "doc_id")
     at = F.pmod(key, F.greatest(F.length("text") - LENGTH, F.lit(1))).cast("int") + 1
@@ -162,16 +169,32 @@ def predict(docs: DataFrame, known: list[str], model: Folded | None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(1):
+            n = batch.num_rows
+            total, many = np.zeros((n, max(1, len(known)))), np.zeros(n, np.int64)
+            waiting: list[tuple[int, np.ndarray]] = []
+
+            def convolve() -> None:
+                if waiting:
+                    rows = np.repeat([k for k, _ in waiting], [len(x) for _, x in waiting])
+                    np.add.at(total, rows, model.probabilities(np.concatenate([x for _, x in waiting])))
+                    waiting.clear()
+
+            size = 0
+            for k, text in enumerate(batch.column(1)):
                 text = text.as_py()
                 if text is None or model is None or not LETTER.search(text):
-                    langs.append("und")
-                    scores.append(0.0)
                     continue
-                mean = model.probabilities(windows(text.encode("utf-8", "replace"))).mean(0)
-                langs.append(known[int(mean.argmax())])
-                scores.append(float(min(1.0, mean.max())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                x = windows(text.encode("utf-8", "replace"))
+                many[k] = len(x)
+                for at in range(0, len(x), STEP):
+                    waiting.append((k, x[at : at + STEP]))
+                    size += len(waiting[-1][1])
+                    if size >= STEP:
+                        convolve()
+                        size = 0
+            convolve()
+            mean = total / np.maximum(many, 1)[:, None]
+            langs = [known[i] if m else "und" for i, m in zip(mean.argmax(1).tolist(), many.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.minimum(mean.max(1), 1.0), pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
