@@ -7,7 +7,7 @@ line's end is one of its own, so the pieces can be encoded apart; pieces that re
 bytes are joined before they become text, so characters split over tokens come out whole.
 
 Cases: null and empty texts have no ids; special tokens' strings are ordinary text; texts of any length and any
-Unicode are encoded whole; rows that repeat get equal results; extra columns are left out; an empty table gives an
+Unicode are encoded whole; rows that repeat get equal results; a null doc_id is encoded like any other; extra columns are left out; an empty table gives an
 empty result.
 """
 
@@ -134,7 +134,8 @@ class Codec:
         for shown, i in tokenizer.get_vocab().items():
             self.bytes[i] = bytes(back[c] for c in shown) if all(c in back for c in shown) else shown.encode()
         self.raw = self.pieces(lambda ids: struct.pack(f"<{len(ids)}I", *ids))
-        self.shown = self.pieces(lambda ids: (",".join(map(str, ids)), self.decode(ids)))
+        self.said = list(map(str, range(len(self.bytes))))
+        self.sizes = np.array(list(map(len, self.bytes)), np.int64)
 
     def pieces(self, made):
         """A function from a text to what `made` makes of the ids of each of its pieces, in order."""
@@ -168,6 +169,14 @@ class Codec:
         table = self.bytes
         return b"".join([table[i] for i in ids])
 
+    def offsets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code points of the decoded text where each id begins and ends; an id that holds part of a character has the whole of it."""
+        ends = np.cumsum(self.sizes[ids])
+        head = (np.frombuffer(self.decode(ids.tolist()), np.uint8) & 0xC0) != 0x80
+        point = np.concatenate([np.cumsum(head) - 1, [int(head.sum())]])
+        first = point[ends - self.sizes[ids]]
+        return first, np.maximum(first, point[ends - 1] + 1) if len(ids) else first
+
 
 def runs(texts: list[str]) -> Iterator[list[str]]:
     """texts in order, in lists that hold one text or at most RUN code points."""
@@ -192,19 +201,21 @@ def codec(path: str, pattern: str | None = None) -> Codec:
     return _CODECS[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
-    """(doc_id, ids): ids as array<int>."""
+def encode(docs: DataFrame, path: str, pattern: str | None = None, offsets: bool = False) -> DataFrame:
+    """(doc_id, ids): ids as array<int>; with offsets also starts and ends, each id's place in the text in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
             for at, run_ in _sliced(batch):
                 ids = list(own.encode(run_))
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                values = pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run_)), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"])
+                ends = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
+                parts = [ids, *(zip(*map(own.offsets, ids), strict=True) if offsets and ids else ())]
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*x, np.zeros(0, np.uint32)]).astype(np.int32))) for x in parts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run_)), *lists], ["doc_id", *names])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    names = ["ids", "starts", "ends"] if offsets else ["ids"]
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, ", ".join(["doc_id long", *(f"{c} array<int>" for c in names)]))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
@@ -235,9 +246,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str | None = None) -> DataFr
             out = []
             for _, texts in _sliced(batch):
                 for text in texts:
-                    pairs = own.shown(text)
-                    said, plain = ",".join([x for x, _ in pairs if x]), b"".join([x for _, x in pairs])
-                    out.append((said.count(",") + 1 if said else 0, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(plain).hexdigest()))
+                    ids = np.frombuffer(own.encode_raw(text), "<u4").tolist()
+                    said = ",".join([own.said[i] for i in ids])
+                    out.append((len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
             cols = list(zip(*out, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
