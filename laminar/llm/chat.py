@@ -104,32 +104,44 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return _exploded(df.select(F.col(id_col).alias("conv_id"), turns.alias("_turns")), F.col("_turns"))
 
 
+def _there(payload: Column, path: str) -> Column:
+    """Whether a JSON payload has a field path; a path within a list is there if any element has it."""
+    outer, _, inner = path.partition("[].")
+    if not inner:
+        return F.try_variant_get(payload, f"$.{path}", "variant").isNotNull()
+    return F.coalesce(F.exists(_items(payload, outer), lambda x: F.try_variant_get(x, f"$.{inner}", "variant").isNotNull()), F.lit(False))
+
+
+def _items(payload: Column, path: str) -> Column:
+    """The elements of a list; null where there is no list."""
+    return F.try_variant_get(payload, f"$.{path}", "array<variant>")
+
+
 def canonical_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """JSON payloads of mixed layouts as rows (conv_id, layout, turn, role, text); outer: an unknown payload keeps one row."""
-    payload = F.try_parse_json(F.col(json_col))
-    names = F.regexp_extract_all(F.schema_of_variant(payload), F.lit(r"(\w+):"), 1)
-    cases = None
-    for name, (paths, kind, fields) in MAPPINGS.items():
-        if kind == "rows":
-            continue
+    """JSON payloads of mixed layouts as rows (conv_id, layout, turn, role, text); outer: an unknown payload keeps one row.
+
+    A payload's fingerprint is the hash of those of its nested field paths that mappings know, so other fields don't matter; a
+    payload whose fingerprint no mapping has takes the widest mapping whose paths it holds."""
+    names = [n for n, (_, kind, _) in MAPPINGS.items() if kind != "rows"]
+    known = sorted({p for n in names for p in MAPPINGS[n][0]})
+    payload = F.col("_payload")
+    parsed = df.select(F.col(id_col).alias("conv_id"), F.try_parse_json(F.col(json_col)).alias("_payload"))
+    held = parsed.withColumn("_paths", F.array_compact(F.array(*[F.when(_there(payload, p), F.lit(p)) for p in known])))
+    print_ = F.sha2(F.array_join("_paths", "\n"), 256)
+    exact = [(print_ == fingerprint(MAPPINGS[n][0]), n) for n in names]
+    wide = [(F.size(F.array_except(F.array(*map(F.lit, MAPPINGS[n][0])), "_paths")) == 0, n) for n in sorted(names, key=lambda n: -len(MAPPINGS[n][0]))]
+    layout = F.coalesce(*[F.when(hit, F.lit(n)) for hit, n in exact + wide])
+
+    def turns(n: str) -> Column:
+        _, kind, fields = MAPPINGS[n]
+        of = lambda x, f: F.try_variant_get(x, f"$.{f}", "string")
         if kind == "list":
-            inner = fields[1:]
-            seen = [fields[0], *sorted(inner)]
-            a, role, text = fields
-            parsed = F.from_json(F.col(json_col), f"struct<`{a}`: array<struct<`{role}`: string, `{text}`: string>>>")
-            turns = _listed(parsed[a], role, text)
-        else:
-            seen = sorted(paths)
-            at = lambda f: F.get_json_object(F.col(json_col), f"$.{f}")
-            turns = _pair(at(fields[0]), at(fields[1]) if fields[1] else None, at(fields[2]))
-        key = hashlib.sha256("\n".join(seen).encode()).hexdigest()
-        hit = F.sha2(F.array_join(names, "\n"), 256) == key
-        found = F.struct(F.lit(name).alias("layout"), turns.alias("turns"))
-        cases = F.when(hit, found) if cases is None else cases.when(hit, found)
-    out = df.select(F.col(id_col).alias("conv_id"), cases.alias("m"))
-    return out.select("conv_id", F.col("m.layout").alias("layout"), F.posexplode_outer("m.turns").alias("turn", "t")).select(
-        "conv_id", "layout", F.col("turn").cast("long"), "t.role", "t.text"
-    )
+            items, role, text = fields
+            return F.transform(_items(payload, items), lambda m: F.struct(_role(of(m, role)).alias("role"), F.coalesce(of(m, text), F.lit("")).alias("text")))
+        return _pair(of(payload, fields[0]), of(payload, fields[1]) if fields[1] else None, of(payload, fields[2]))
+
+    out = held.withColumn("layout", layout).withColumn("_turns", F.coalesce(*[F.when(F.col("layout") == n, turns(n)) for n in names]))
+    return out.select("conv_id", "layout", F.posexplode_outer("_turns").alias("turn", "t")).select("conv_id", "layout", F.col("turn").cast("long"), "t.role", "t.text")
 
 
 def escape(c: Column, name: bool = False) -> Column:
