@@ -126,6 +126,40 @@ def test_json_payloads_of_mixed_layouts(spark):
     assert got[4] == got[5] == got[6] == [(None, None, None)]
 
 
+def test_json_payloads_with_other_fields_and_wrong_nesting(spark):
+    asked = [{"role": "user", "content": "q", "id": 7}, {"role": "assistant", "content": "a"}]
+    payloads = [
+        ({"messages": asked, "source": {"role": "x", "content": "y"}}, "messages"),
+        ({"prompt": "q", "response": "a", "id": 5}, "prompt_response"),
+        ({"prompt": "q", "completion": "a", "instruction": "z"}, "prompt_completion"),
+        ({"messages": {"role": "user", "content": "q"}}, None),
+        ({"messages": "text", "prompt": "q", "response": "a"}, "prompt_response"),
+        ({"messages": []}, None),
+        ({"deep": {"prompt": "q", "completion": "a"}}, None),
+    ]
+    df = spark.createDataFrame([(k, json.dumps(p)) for k, (p, _) in enumerate(payloads)], "id long, body string")
+    got = {}
+    for r in chat.canonical_json(df, "id", "body").orderBy("conv_id", "turn").collect():
+        got.setdefault(r["conv_id"], []).append((r["layout"], r["role"], r["text"]))
+    for k, (_, name) in enumerate(payloads):
+        assert got[k] == ([(name, "user", "q"), (name, "assistant", "a")] if name else [(None, None, None)])
+    plan = chat.canonical_json(df, "id", "body")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("text", ["", "abc de", "é🙂x 🙂🙂", "字字 字 ña", "a\x00b"])
+def test_offsets_cover_the_text(spark, text):
+    own = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    ids = next(own.encode([text]))
+    first, last = own.offsets(ids)
+    assert (first[:1] == 0).all() and (last[-1:] == len(text)).all()
+    for k, i in enumerate(ids.tolist()):
+        assert own.bytes[i] in text[first[k] : last[k]].encode()
+    df = spark.createDataFrame([(1, text), (None, None)], "doc_id long, text string")
+    row = bpe.encode(df, RANKS, public_tokenizers.PATTERN, offsets=True).filter("doc_id = 1").first()
+    assert (row["ids"], row["starts"], row["ends"]) == (ids.tolist(), first.tolist(), last.tolist())
+
+
 def test_main_path_is_native(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.read_back(chat.format_turns(chat.canonical_turns(df.withColumn("c", F.lit(1)))))._jdf.queryExecution().executedPlan().toString()

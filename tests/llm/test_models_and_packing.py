@@ -44,7 +44,9 @@ def test_plans_place_every_piece_once(histogram):
             rooms.append(64 - length)
         else:
             rooms[k] -= length
-    assert -(-sum(k * v for k, v in histogram.items()) // 64) <= len(bins) <= len(rooms) + 1
+    # patterns always come first, so plain best fit is no strict bound
+    assert -(-sum(k * v for k, v in histogram.items()) // 64) <= len(bins) <= max(len(rooms) + 1, 1.1 * len(rooms))
+    assert packing.by_patterns(histogram, 64) <= sum(histogram.values())
 
 
 def test_plan_is_near_the_bound_for_many_lengths():
@@ -201,7 +203,8 @@ def test_toxicity_on_held_out_rows(spark):
     df = queries.op10_toxicity(spark, sf).cache()
     got = held_out(spark, df, sf, "toxic")
     caught, clean = got[got["label"] == 1], got[got["label"] == 0]
-    assert (caught["predicted"] == 1).mean() > 0.65 and (clean["predicted"] == 0).mean() > 0.99
+    # 5 % of the toxic labels stand at texts without any mark
+    assert (caught["predicted"] == 1).mean() > 0.87 and (clean["predicted"] == 0).mean() > 0.99
 
 
 def test_language_on_held_out_rows(spark):
@@ -221,6 +224,101 @@ def test_models_without_labels_or_letters(spark):
     assert quality.score(docs.limit(0), quality.fit(docs, none, F.lit(True))).count() == 0
 
 
+def plain_features(text):
+    raw = bytes(32 if b in b"\t\n\x0b\f\r" else b + 32 if 65 <= b <= 90 else b for b in b" " + (text or "").encode() + b" ")
+    out = set()
+    for n in toxicity.SIZES:
+        for at in range(len(raw) - n + 1):
+            h = n
+            for b in raw[at : at + n]:
+                h = (h * 0x01000193 + b) % 2**32
+            h = (h ^ (h >> 15)) * 0x2C1B3C6D % 2**32
+            out.add(h >> (32 - toxicity.BITS))
+    return out
+
+
+@pytest.mark.parametrize("part", [1 << 20, 40])
+def test_features_equal_plain_n_grams(monkeypatch, part):
+    """Long texts are hashed in parts; n-grams across the seams are kept."""
+    monkeypatch.setattr(toxicity, "PART", part)
+    seen = np.zeros(1 << toxicity.BITS, bool)
+    for text in ("", "a", "Ab\tcd é🙂 " * 30, "x" * 200, "One two\nthree"):
+        assert set(toxicity.features(text.encode(), seen).tolist()) == plain_features(text) and not seen.any()
+
+
+def test_toxic_scores_equal_a_plain_sum(spark):
+    rng = np.random.default_rng(1)
+    words = ["blah", "thing", "over", "under", "some", "more"]
+    docs = [(k, " ".join(rng.choice(words, 40)) + (" nasty vile" if k % 3 == 0 else ""), 1) for k in range(120)] + [(500, None, 1), (501, "", 1), (None, "nasty vile", 1), (0, "nasty vile", 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, f int")
+    labels = spark.createDataFrame([(k, 0, int(k % 3 == 0)) for k in range(1, 120)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(*toxicity.sample(df, labels, F.lit(True), 1000))
+    got = toxicity.score(df, model, 0.7).collect()
+    assert len(got) == len(docs)
+    for r, (k, text, _) in zip(sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["score"])), sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, "nasty" in (d[1] or ""))), strict=True):
+        z = model.bias + sum(float(model.table[i]) for i in plain_features(text))
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-4 and r["predicted"] == int(r["score"] >= 0.7)
+        assert text is None or k == 0 or r["predicted"] == int("nasty" in text)
+    assert toxicity.score(df.limit(0), model).count() == 0
+
+
+def plain_statistics(text):
+    raw = (text or "").encode()
+    n, words, lines = max(1, len(raw)), raw.split(), raw.split(b"\n") if raw else []
+    share = lambda chars: sum(raw.count(bytes([c])) for c in chars) / n
+    filled, m = [x for x in lines if x.strip()], max(1, len(words))
+    letters = max(1, sum(65 <= b <= 90 or 97 <= b <= 122 for b in raw))
+    return [
+        len(raw), len(words), sum(map(len, words)) / m, share(range(65, 91)), share(b"#$%&*@^~=+<>{}[]\\/_"), share(b"!?"), share(b"|"), share(range(48, 58)), len(lines) / n,
+        sum(len(x) < 40 for x in filled) / max(1, len(filled)), len(set(words)) / m, len(set(filled)) / max(1, len(filled)), sum(len(w) > 24 for w in words) / m, sum(65 <= b <= 90 for b in raw) / letters,
+    ]
+
+
+def test_quality_scores_equal_plain_rules(spark):
+    rng = np.random.default_rng(2)
+    good = lambda: " ".join(rng.choice(["one", "two", "three", "Four"], 30))
+    docs = [(k, good() if k % 2 else good().replace(" ", " ### "), 0.5) for k in range(200)] + [(900, None, 0.5), (None, "", 0.5), (900, "a\n\nb|!? 5", 0.5), (901, "W" * 50_000, 0.5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _stat_bytes double")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    model = quality.fit(df, labels, F.lit(True))
+    x = np.array([plain_statistics(t) for _, t, _ in docs])
+    want = sorted(round(float(v), 9) for v in 1 / (1 + np.exp(-model.margin(x))))
+    got = quality.score(df, model, 0.3).collect()
+    assert sorted(round(r["score"], 9) for r in got) == want and all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got if r["doc_id"] is not None and r["doc_id"] < 200)
+    kept = quality.passing(df, model, 0.3)
+    assert kept.columns == df.columns and kept.count() == sum(v >= 0.3 for v in want) and kept.filter("_stat_bytes <> 0.5").count() == 0
+
+
+def test_language_predictions_equal_a_plain_mean(spark):
+    """Whole texts, one by one, against what batched windows give; long texts span batches, repeated rows agree."""
+    base = [("en", "the house and the thing of "), ("de", "das haus und die sache der "), ("fr", "la maison et la chose des ")]
+    docs = [(k, base[k % 3][1] * (1 + k % 4), base[k % 3][0]) for k in range(60)] + [(100, "the house and " * 9000, None), (101, "die sache", None), (101, "die sache", None), (None, "la maison", None), (102, "12 !", "en"), (103, None, "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    known, model = langid.fit(df, F.lit(True))
+    assert known == ["de", "en", "fr"]
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["lang_pred"], round(r["score"], 5)) for r in langid.predict(df, known, model).collect())
+    want = []
+    for k, text, _ in docs:
+        if text is None or not any(c.isalpha() for c in text):
+            want.append((k, "und", 0.0))
+            continue
+        mean = np.mean([model.probabilities(w[None])[0] for w in langid.windows(text.encode())], 0)
+        want.append((-1 if k is None else k, known[int(mean.argmax())], round(float(min(1, mean.max())), 5)))
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)] and np.allclose([x[2] for x in got], [x[2] for x in sorted(want)], atol=2e-5)
+    assert langid.predict(df.limit(0), known, model).count() == 0
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ROWS", 400)
+    docs = [(k, f"word{chr(97 + k % 20)} text" * 5, f"l{k % 300}") for k in range(900)]
+    known, _ = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), F.lit(True), per_lang=50)
+    assert len(known) == 300
+    monkeypatch.setattr(langid, "ROWS", 200)
+    with pytest.raises(ValueError, match="lang"):
+        langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), F.lit(True))
+
+
 def test_network_gradients():
     net = langid.Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
