@@ -9,7 +9,8 @@ have equal anchors wherever they stand, and the runs of strings with one anchor
 by it. First anchors alone are counted, which leaves those of more than one document; then the runs at these meet, each
 distinct run once for each group of documents; each bucket sorts the repeated suffixes of its runs, scans the interval
 tree and returns, per maximal group, the length and the least doc_id that holds it. A hot passage thus crosses the
-shuffle once for each group of documents, not once for each document. Last, each document drops its spans.
+shuffle once for each group of documents, not once for each document. A bucket whose anchors have very many distinct runs (a phrase in
+all documents, with other text around it each time) is dealt again, by the bytes before and after the anchor. Last, each document drops its spans.
 
 Cases: a null text is empty; texts shorter than `least` keep all; a document is compared with smaller doc_ids only, so
 rows that share a doc_id never remove from each other; a null doc_id orders last; repeats within one document stay;
@@ -34,6 +35,8 @@ LEAST, GRAM = 50, 24
 WIDE = LEAST - GRAM + 1
 #: Window starts taken at a time; bytes of text in a group of documents; anchors and runs in a bucket.
 PART, GROUP, BUCKET = 1 << 19, 2_000_000, 150_000
+#: Runs in a bucket beyond which it is dealt anew, and how many buckets at a time.
+HOT, LISTED = 600_000, 1 << 16
 SEED = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 #: MULT to the powers 1, 2, 4, ...
 MULT = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(8)]
@@ -165,7 +168,11 @@ def _slices(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, grp, hashes, many): the distinct anchors of each batch's documents by group; many: in more than one document there."""
+    """(bucket, hashes, grps, many): the distinct anchors of each batch's documents by group.
+
+    An anchor that stands in more than one document of a batch is shared whatever other batches hold. One of its groups says so to
+    the anchor's bucket (many), the others go past it, in buckets below 0: an anchor that all documents have makes a row for
+    each batch there, not for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -176,17 +183,23 @@ def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
             keys, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for anchor, first, _ in runs_of(text, ends):
                 d = np.searchsorted(ends, first, "right")
-                keys.append((group[d] << np.uint64(40)) | anchor)
+                keys.append((anchor << np.uint64(24)) | group[d])
                 doc.append(d)
             keys, doc = np.concatenate(keys), np.concatenate(doc)
             order = np.argsort(keys, kind="stable")
             keys, doc = keys[order], doc[order]
-            head = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-            many = (np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)) if len(head) else np.zeros(0, bool)
-            keys = keys[head]
-            anchor, group_ = keys & np.uint64((1 << 40) - 1), (keys >> np.uint64(40)).astype(np.uint32)
+            anchor = keys >> np.uint64(24)
+            head = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), anchor[1:] != anchor[:-1]]))
+            size = np.diff(np.concatenate([head, [len(keys)]]))
+            many = np.repeat((np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)) if len(head) else np.zeros(0, bool), size)
+            lead = np.zeros(len(keys), bool)
+            lead[head] = True
+            new = np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])  # a group's first row of an anchor
+            keys, anchor, many, lead = keys[new], anchor[new], many[new], lead[new]
+            group_ = (keys & np.uint64((1 << 24) - 1)).astype(np.uint32)
+            bucket = np.where(many & ~lead, -1 - (group_ % buckets).astype(np.int64), (anchor % np.uint64(buckets)).astype(np.int64))
             out: list[list] = [[], [], [], []]
-            for b, at in _slices((anchor % np.uint64(buckets)).astype(np.int64)):
+            for b, at in _slices(bucket):
                 for col, x in zip(out, (b, _five(anchor[at]), group_[at].tobytes(), many[at].tobytes()), strict=True):
                     col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["bucket", "hashes", "grps", "many"])
@@ -250,7 +263,9 @@ def _hold(docs: pd.DataFrame, shared: pd.DataFrame) -> Held:
     return Held(texts, ids, hashes)
 
 
-RUNS = "bucket int, grp int, numbers binary, anchors binary, least binary, alone binary, lens binary, data binary"
+FOUND = "grp int, numbers binary, starts binary, lengths binary, least binary"
+RUNS = "bucket long, depth int, n int, grp int, numbers binary, anchors binary, least binary, alone binary, lens binary, data binary"
+RUN_COLUMNS = [c.split()[0] for c in RUNS.split(", ")]
 
 
 def _runs(buckets: int) -> Callable:
@@ -260,12 +275,126 @@ def _runs(buckets: int) -> Callable:
         h, rows = _hold(docs, shared), []
         for b, at in _slices((h.anchor % np.uint64(buckets)).astype(np.int64)):
             own = [h.runs[k] for k in at.tolist()]
-            rows.append((b, key[0], at.astype(np.int32).tobytes(), _five(h.anchor[at]), h.least[at].tobytes(), (h.least[at] == h.most[at]).tobytes(), bytes(map(len, own)), b"".join(own)))
-        return pd.DataFrame(rows, columns=["bucket", "grp", "numbers", "anchors", "least", "alone", "lens", "data"])
+            rows.append((b, 0, len(at), key[0], at.astype(np.int32).tobytes(), _five(h.anchor[at]), h.least[at].tobytes(), (h.least[at] == h.most[at]).tobytes(), bytes(map(len, own)), b"".join(own)))
+        return pd.DataFrame(rows, columns=RUN_COLUMNS)
 
     return run
 
 
+# hot buckets
+
+#: Places of an anchor in a string are 0 to WIDE - 1; at depth d they are dealt into 2^d intervals, at the last one each is its own.
+DEPTHS = (WIDE - 1).bit_length()
+
+
+def spans(depth: int) -> list[tuple[int, int]]:
+    """The intervals (first, last) of an anchor's places in a string at a depth."""
+    now = [(0, WIDE - 1)]
+    for _ in range(depth):
+        now = [x for a, b in now for x in ([(a, (a + b) // 2), ((a + b) // 2 + 1, b)] if b > a else [(a, b)])]
+    return now
+
+
+class Dealt:
+    """The runs of a row of RUNS with their anchors' places, and the parts in which each of them can meet others at a depth."""
+
+    def __init__(self, row: dict):
+        self.row, self.text = row, np.frombuffer(row["data"], np.uint8)
+        lens = np.frombuffer(row["lens"], np.uint8).astype(np.int64)
+        self.ends = np.cumsum(lens)
+        self.begins = self.ends - lens
+        anchors = _from_five(row["anchors"])
+        run = np.repeat(np.arange(len(lens)), lens)[: len(self.text) - GRAM + 1]
+        at = np.flatnonzero((_hashes(self.text) >> np.uint64(24) == anchors[run]) & (np.arange(len(run)) + GRAM <= self.ends[run]))
+        # a string's anchor is the first of its least k-grams, and so is a run's
+        own, first = np.unique(run[at], return_index=True)
+        self.place = np.zeros(len(lens), np.int64)
+        self.place[own] = at[first]
+
+    def parts(self, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(interval, runs, the bytes that all strings of a run have whose anchor's place is in the interval): strings that are equal
+        have equal bytes, so runs need to meet only where these are equal."""
+        before, after = self.place - self.begins, self.ends - self.place - GRAM
+        for k, (a, b) in enumerate(spans(depth)):
+            runs = np.flatnonzero(np.maximum(a, WIDE - 1 - after) <= np.minimum(b, before))
+            if len(runs):
+                yield k, runs, self.text[self.place[runs, None] - a + np.arange(LEAST - b + a)]
+
+    def cut(self, runs: np.ndarray) -> dict:
+        """The row with some of its runs only."""
+        r = self.row
+        pick = lambda c, kind: np.frombuffer(r[c], kind)[runs].tobytes()
+        data = b"".join([r["data"][x:y] for x, y in zip(self.begins[runs].tolist(), self.ends[runs].tolist(), strict=True)])
+        return {"n": len(runs), "grp": r["grp"], "numbers": pick("numbers", np.int32), "anchors": pick("anchors", "V5"), "least": pick("least", np.int64), "alone": pick("alone", bool), "lens": pick("lens", np.uint8), "data": data}
+
+
+def _deeper(rows: DataFrame) -> DataFrame:
+    """RUNS of hot buckets, dealt by more of the text around their anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        kinds = {"bucket": pa.int64(), "depth": pa.int32(), "n": pa.int32(), "grp": pa.int32()}
+        for batch in batches:
+            for row in batch.to_pylist():
+                dealt, depth, out = Dealt(row), row["depth"] + 1, []
+                for k, runs, around in dealt.parts(depth):
+                    h = np.full(len(runs), 64 * depth + k, np.uint64)
+                    for column in around.T:
+                        h = h * MULT[0] + SEED[column]
+                    h ^= h >> np.uint64(32)
+                    # below 0: no bucket of the first deal
+                    for b, at in _slices((h | np.uint64(1 << 63)).view(np.int64)):
+                        out.append({"bucket": b, "depth": depth, **dealt.cut(runs[at])})
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kinds.get(c, pa.binary())) for c in RUN_COLUMNS], RUN_COLUMNS)
+
+    return rows.mapInArrow(run, RUNS)
+
+
+def _cooled(runs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """runs without hot buckets, and those of the last depth, if there are any.
+
+    A bucket has all runs with its anchors. One anchor (a phrase) can stand in any number of documents, each with other text around
+    it; the runs of a hot bucket are dealt again by what stands around, until no bucket is hot. What is hot at the last depth shares whole strings."""
+    last = None
+    while True:
+        sizes = runs.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("depth").alias("depth")).filter(F.col("n") > HOT)
+        hot = stash(sizes.filter(F.col("depth") < DEPTHS).orderBy(F.desc("n")).limit(LISTED).select("bucket"), "hot")  # LISTED numbers at most
+        if hot.isEmpty():
+            return runs, last
+        apart = stash(_deeper(runs.join(F.broadcast(hot), "bucket", "left_semi").select(*RUN_COLUMNS)), "runs")
+        runs = runs.join(F.broadcast(hot), "bucket", "left_anti").select(*RUN_COLUMNS).unionByName(apart.filter(F.col("depth") < DEPTHS))
+        whole = apart.filter(F.col("depth") == DEPTHS)
+        last = whole if last is None else last.unionByName(whole)
+
+
+def _of_strings(rows: DataFrame) -> DataFrame:
+    """FOUND of runs dealt to the last depth, string by string: the least holder of a string is an aggregate, whatever the number of its runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for row in batch.to_pylist():
+                dealt = Dealt(row)
+                least, alone, numbers = np.frombuffer(row["least"], np.int64), np.frombuffer(row["alone"], bool), np.frombuffer(row["numbers"], np.int32)
+                # the row's bucket is one string for each interval; every other string of its runs has a row of its own
+                for k, runs, around in dealt.parts(DEPTHS):
+                    start = (dealt.place - dealt.begins)[runs] - spans(DEPTHS)[k][0]
+                    cols = (pa.array([x.tobytes() for x in around], pa.binary()), pa.array(np.full(len(runs), row["grp"], np.int32)), pa.array(numbers[runs]), pa.array(start.astype(np.int32)), pa.array(least[runs]), pa.array(alone[runs]))
+                    yield pa.RecordBatch.from_arrays(list(cols), ["string", "grp", "number", "start", "first", "alone"])
+
+    held = stash(rows.mapInArrow(run, "string binary, grp int, number int, start int, first long, alone boolean").distinct(), "strings")
+    least = stash(held.groupBy("string").agg(F.min("first").alias("low")), "least")
+    met = held.join(least.hint("merge"), "string").filter((F.col("low") < F.col("first")) | ~F.col("alone"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = lambda c, kind: [x.tobytes() for x in batch.column(c).to_numpy().astype(kind)]  # noqa: E731, B023
+            cols = (of("number", np.int32), of("start", np.uint8), [bytes([LEAST])] * batch.num_rows, of("low", np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), *[pa.array(c, pa.binary()) for c in cols]], ["grp", "numbers", "starts", "lengths", "least"])
+
+    return met.select("grp", "number", "start", "low").mapInArrow(pack, FOUND)
+
+
 def scan(runs: list[bytes], least_id: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The maximal repeats of distinct runs: for every occurrence (run, start, length, least id of the group).
 
@@ -336,9 +465,6 @@ def _common(text: np.ndarray, at: np.ndarray, left: np.ndarray, same: np.ndarray
     return out
 
 
-FOUND = "grp int, numbers binary, starts binary, lengths binary, least binary"
-
-
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     """All runs of a bucket -> for each group of documents the maximal repeats of its runs that reach beyond their first holder."""
     release()
@@ -444,7 +570,10 @@ def _plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = own.select("_grp", "_id", "text")
     shared = stash(_shared(_anchors(least, buckets)), "shared")
     runs = least.groupBy("_grp").cogroup(shared.groupBy("grp")).applyInPandas(_runs(buckets), RUNS)
+    runs, strings = _cooled(stash(runs, "runs"))
     found = runs.groupBy("bucket").applyInPandas(_meet, FOUND)
+    if strings is not None:
+        found = found.unionByName(_of_strings(strings))
     rows = shared.select("grp", "hashes", *[F.lit(None).cast("binary").alias(c) for c in ("numbers", "starts", "lengths", "least")])
     return own, rows.unionByName(found.select("grp", F.lit(None).cast("binary").alias("hashes"), "numbers", "starts", "lengths", "least"))
 

@@ -233,6 +233,33 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch, part):
     assert got == brute_removed([(k, t.encode()) for k, t in enumerate(texts)] + [(900, b"")])
 
 
+@pytest.mark.parametrize(("phrase", "hot"), [(40, 12), (56, 12), (75, 3)])
+def test_hot_anchors_are_dealt_by_what_stands_around(spark, monkeypatch, phrase, hot):
+    """A phrase in every document, with other text around it each time: no bucket stays hot, and the result is the same."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "BUCKET", 10**9)
+    seen, cooled = [], repeats._cooled
+
+    def spy(runs):
+        out = cooled(runs)
+        sizes = lambda rows: [r[0] for r in rows.groupBy("bucket").agg({"n": "sum"}).select("sum(n)").collect()]
+        seen.append((max(sizes(runs)), max(sizes(out[0]), default=0), out[1] is not None))
+        return out
+
+    monkeypatch.setattr(repeats, "_cooled", spy)
+    rng = random.Random(phrase)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    common = word(phrase)
+    texts = [word(60) + word(rng.randint(0, 9)) + common + word(rng.randint(0, 70)) for _ in range(90)]
+    texts += [texts[k][: rng.randint(40, 120)] + word(30) for k in range(20)] + [common, common[5:], "x" * 80, common * 2]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.removed_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_removed([(k, t.encode()) for k, t in rows])
+    before, after, whole = seen[0]
+    assert before > 60 and after <= hot and (whole or phrase < 50)
+
+
 def test_removal_keeps_other_columns_and_whole_characters(spark):
     shared = "é" * 40
     rows = [(1, shared + "a", 7, "n"), (2, "ù" + shared + "b", 8, None), (2, "own", 9, "x"), (None, shared, 1, "z")]
