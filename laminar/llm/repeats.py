@@ -35,8 +35,8 @@ LEAST, GRAM = 50, 24
 WIDE = LEAST - GRAM + 1
 #: Window starts taken at a time; bytes of text in a group of documents; anchors and runs in a bucket.
 PART, GROUP, BUCKET = 1 << 19, 2_000_000, 150_000
-#: Runs in a bucket beyond which it is dealt anew, and how many buckets at a time.
-HOT, LISTED = 600_000, 1 << 16
+#: Runs in a bucket beyond which it is dealt anew.
+HOT = 600_000
 SEED = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 #: MULT to the powers 1, 2, 4, ...
 MULT = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(8)]
@@ -328,8 +328,8 @@ class Dealt:
         return {"n": len(runs), "grp": r["grp"], "numbers": pick("numbers", np.int32), "anchors": pick("anchors", "V5"), "least": pick("least", np.int64), "alone": pick("alone", bool), "lens": pick("lens", np.uint8), "data": data}
 
 
-def _deeper(rows: DataFrame) -> DataFrame:
-    """RUNS of hot buckets, dealt by more of the text around their anchors."""
+def _deeper(rows: DataFrame, buckets: int) -> DataFrame:
+    """RUNS of hot buckets, dealt by more of the text around their anchors into new buckets, which have numbers below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -338,37 +338,43 @@ def _deeper(rows: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 dealt, depth, out = Dealt(row), row["depth"] + 1, []
                 for k, runs, around in dealt.parts(depth):
-                    h = np.full(len(runs), 64 * depth + k, np.uint64)
+                    h = np.full(len(runs), k, np.uint64)
                     for column in around.T:
                         h = h * MULT[0] + SEED[column]
                     h ^= h >> np.uint64(32)
-                    # below 0: no bucket of the first deal
-                    for b, at in _slices((h | np.uint64(1 << 63)).view(np.int64)):
-                        out.append({"bucket": b, "depth": depth, **dealt.cut(runs[at])})
+                    for b, at in _slices((h % np.uint64(buckets)).astype(np.int64)):
+                        out.append({"bucket": -1 - (depth << 40) - b, "depth": depth, **dealt.cut(runs[at])})
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kinds.get(c, pa.binary())) for c in RUN_COLUMNS], RUN_COLUMNS)
 
     return rows.mapInArrow(run, RUNS)
 
 
 def _cooled(runs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """runs without hot buckets, and those of the last depth, if there are any.
+    """runs without hot buckets, and the rows that are hot at the last depth, if there are any.
 
     A bucket has all runs with its anchors. One anchor (a phrase) can stand in any number of documents, each with other text around
-    it; the runs of a hot bucket are dealt again by what stands around, until no bucket is hot. What is hot at the last depth shares whole strings."""
-    last = None
-    while True:
-        sizes = runs.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("depth").alias("depth")).filter(F.col("n") > HOT)
-        hot = stash(sizes.filter(F.col("depth") < DEPTHS).orderBy(F.desc("n")).limit(LISTED).select("bucket"), "hot")  # LISTED numbers at most
-        if hot.isEmpty():
-            return runs, last
-        apart = stash(_deeper(runs.join(F.broadcast(hot), "bucket", "left_semi").select(*RUN_COLUMNS)), "runs")
-        runs = runs.join(F.broadcast(hot), "bucket", "left_anti").select(*RUN_COLUMNS).unionByName(apart.filter(F.col("depth") < DEPTHS))
-        whole = apart.filter(F.col("depth") == DEPTHS)
-        last = whole if last is None else last.unionByName(whole)
+    it; the runs of a hot bucket are dealt again by what stands around. Those of the last depth are hot for single strings."""
+    cool, last = None, None
+    for depth in range(DEPTHS):
+        sizes = runs.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT)
+        hot = stash(sizes, "hot")
+        many = hot.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        part = runs if not many else runs.join(hot.hint("merge"), "bucket", "left_anti").select(*RUN_COLUMNS)
+        cool = part if cool is None else cool.unionByName(part)
+        if not many:
+            break
+        more = runs.join(hot.select("bucket").hint("merge"), "bucket", "left_semi").select(*RUN_COLUMNS)
+        if depth == DEPTHS - 1:
+            last = more
+            break
+        # a run is dealt to a few places; a quarter of HOT is what a new bucket has on average
+        runs = stash(_deeper(more, max(1, 8 * many // HOT)), "runs")
+    return cool, last
 
 
 def _of_strings(rows: DataFrame) -> DataFrame:
-    """FOUND of runs dealt to the last depth, string by string: the least holder of a string is an aggregate, whatever the number of its runs."""
+    """FOUND of the strings of rows that are hot at the last depth: the least holder of a string is an aggregate, whatever the number of its
+    runs. Of strings that these rows hold besides, not all holders are known here, but all are in other buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -376,13 +382,12 @@ def _of_strings(rows: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 dealt = Dealt(row)
                 least, alone, numbers = np.frombuffer(row["least"], np.int64), np.frombuffer(row["alone"], bool), np.frombuffer(row["numbers"], np.int32)
-                # the row's bucket is one string for each interval; every other string of its runs has a row of its own
                 for k, runs, around in dealt.parts(DEPTHS):
                     start = (dealt.place - dealt.begins)[runs] - spans(DEPTHS)[k][0]
                     cols = (pa.array([x.tobytes() for x in around], pa.binary()), pa.array(np.full(len(runs), row["grp"], np.int32)), pa.array(numbers[runs]), pa.array(start.astype(np.int32)), pa.array(least[runs]), pa.array(alone[runs]))
                     yield pa.RecordBatch.from_arrays(list(cols), ["string", "grp", "number", "start", "first", "alone"])
 
-    held = stash(rows.mapInArrow(run, "string binary, grp int, number int, start int, first long, alone boolean").distinct(), "strings")
+    held = stash(rows.drop("bucket", "depth").mapInArrow(run, "string binary, grp int, number int, start int, first long, alone boolean").distinct(), "strings")
     least = stash(held.groupBy("string").agg(F.min("first").alias("low")), "least")
     met = held.join(least.hint("merge"), "string").filter((F.col("low") < F.col("first")) | ~F.col("alone"))
 
