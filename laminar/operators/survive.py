@@ -40,7 +40,8 @@ def ranked(df: DataFrame, entity: Entity) -> DataFrame:
         df = df.join(came, F.col("_batch_id").eqNullSafe(F.col("_b")), "left").drop("_b")
     order = _order(entity, df.columns)
     scope = [entity.key, *(["_batch_id"] if "_batch_id" in df.columns else [])]
-    inner = df.withColumn("_delivery_rank", F.row_number().over(Window.partitionBy(*scope).orderBy(*order)))
+    # dealt by key alone, the rows are in place for both windows
+    inner = df.repartition(F.col(entity.key)).withColumn("_delivery_rank", F.row_number().over(Window.partitionBy(*scope).orderBy(*order)))
     # exact copies tie: the rank within the delivery settles which of them is first in both
     return inner.withColumn("_pk_rank", F.row_number().over(Window.partitionBy(entity.key).orderBy(*order, "_delivery_rank")))
 

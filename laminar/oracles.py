@@ -157,9 +157,28 @@ _SHOW = "SELECT order_id, _batch_id AS batch_id, h AS row_hash FROM val_o WHERE"
 _REJECT = "(bad OR delivery_rank > 1)"
 
 
+#: The declared constraints (fixed values).
+_RULES = """
+SELECT * FROM (VALUES
+ ('customers', 'email', 'format', 'email'), ('customers', 'customer_name', 'min_length', '2'), ('customers', 'customer_name', 'max_length', '100'),
+ ('customers', 'country', 'pattern', '^[A-Za-z .''-]{2,56}$'), ('customers', 'customer_segment', 'enum', 'Premium|Standard|Basic'),
+ ('customers', 'signup_date', 'max_date', 'today'), ('customers', 'lifetime_value', 'minimum', '0'),
+ ('customers', 'customer_id', 'not_null', ''), ('customers', 'customer_id', 'uniqueness', ''), ('customers', 'email', 'not_null', ''),
+ ('products', 'price', 'minimum', '0'), ('products', 'cost', 'minimum', '0'), ('products', 'product_name', 'max_length', '200'),
+ ('products', 'stock_quantity', 'minimum', '0'), ('products', 'stock_quantity', 'maximum', '100000'),
+ ('products', 'product_id', 'not_null', ''), ('products', 'product_id', 'uniqueness', ''),
+ ('orders', 'quantity', 'minimum', '1'), ('orders', 'quantity', 'maximum', '1000'), ('orders', 'unit_price', 'exclusive_minimum', '0'),
+ ('orders', 'order_date', 'min_date', '2020-01-01'), ('orders', 'order_date', 'max_date', 'today'), ('orders', 'total_amount', 'minimum', '0'),
+ ('orders', 'order_status', 'enum', 'Pending|Completed|Cancelled'), ('orders', 'order_id', 'not_null', ''), ('orders', 'customer_id', 'not_null', ''),
+ ('orders', 'product_id', 'not_null', ''), ('orders', 'order_id', 'uniqueness', ''), ('orders', 'customer_id', 'fk_exists', 'customers.customer_id'),
+ ('orders', 'product_id', 'fk_exists', 'products.product_id')) AS r(source_name, col, rule, value)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     o = "orders"
     return {
+        "dq_rules_loaded": _RULES,
         "bronze_ingest_metadata": _sql("SELECT product_id, 'products.csv' AS _source_file, 'batch-1' AS _batch_id, 'full_snapshot' AS _delivery_pattern, CAST(NULL AS VARCHAR) AS _rescued_data, '2024-02-01 00:00:00' AS ingested FROM raw_p"),
         "row_hash": _sql(f"SELECT order_id, {_hash(o)} AS row_hash FROM raw_o"),
         "row_hash_customers": _sql(f"SELECT customer_id, {_hash('customers')} AS row_hash FROM raw_c"),
@@ -177,7 +196,7 @@ def oracle_sql() -> dict[str, str]:
         "dq_numeric_max": _rule("products", "stock_quantity"),
         "dq_exclusive_min": _rule(o, "unit_price"),
         "dq_exclusive_max": _own("products", "exclusive_maximum", "stock_quantity", "stock_quantity >= 400"),
-        "dq_multiple_of": _own("products", "multiple_of", "price", "CAST(price * 100 AS BIGINT) % 5 <> 0"),
+        "dq_multiple_of": _own("products", "multiple_of", "price", "CAST(price * 100 AS BIGINT) % 25 <> 0"),
         "dq_numeric_coerce": _own("products", "minimum", "stock_text", "TRY_CAST(stock_text AS BIGINT) < 100", "(SELECT *, CASE WHEN product_id % 3 = 0 THEN 'n/a' ELSE CAST(stock_quantity AS VARCHAR) END AS stock_text FROM raw_p)"),
         "dq_date_min": _rule(o, "order_date", rules=("min_date",)),
         "dq_date_max_today": _rule(o, "order_date", rules=("max_date",)),

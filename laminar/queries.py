@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from laminar.plans import dashboard, gold, reconcile
 from laminar.plans.manifest import latest_manifest
 from laminar.sources import adapters
 from laminar.sources.store import Store, shared_dir
-from laminar.specs import CUSTOMERS, ORDERS, PRODUCTS, Entity, Rule, orders_entity
+from laminar.specs import CUSTOMERS, ORDERS, PRODUCTS, Entity, Rule, constraints, orders_entity, rules_json, with_rules
+from laminar.specs import ENTITIES as DECLARED
 
 ORDERS_HERE = orders_entity(adapters.FIRST_DAY)
 ENTITIES = {"customers": CUSTOMERS, "products": PRODUCTS, "orders": ORDERS_HERE}
@@ -228,7 +230,7 @@ def dq_exclusive_max(x: Layers) -> DataFrame:
 
 @query
 def dq_multiple_of(x: Layers) -> DataFrame:
-    return broken(x.raw("products"), "product_id", [Rule("price", "number", multiple_of="0.05")])
+    return broken(x.raw("products"), "product_id", [Rule("price", "number", multiple_of="0.25")])
 
 
 @query
@@ -506,6 +508,21 @@ def dash_filter_segment(x: Layers) -> DataFrame:
     return dashboard.active_customers(x.revenue(), "Premium")
 
 
+@query
+def dq_rules_loaded(x: Layers) -> DataFrame:
+    """The constraints of all entities, as they come back from a configuration table's variant column."""
+    seeds = x.spark.createDataFrame([(e.name, rules_json(e)) for e in DECLARED.values()], "source_name string, rules string")
+    store = Store(x.spark, f"{shared_dir(x.spark)}/layers-{uuid.uuid4().hex}")
+    config = seeds.select("source_name", F.parse_json("rules").alias("dq_rules"))
+    store.create("ops/source_config", config.schema)
+    store.insert_if_absent("ops/source_config", config, "source_name")
+    rows = []
+    for e in DECLARED.values():
+        bare = replace(e, rules=(), checks=())
+        rows += constraints(with_rules(bare, store.one("ops/source_config", "source_name", e.name, columns=[F.to_json("dq_rules").alias("r")])["r"]))
+    return x.spark.createDataFrame(rows, "source_name string, col string, rule string, value string")
+
+
 # reconciliation
 
 
@@ -546,11 +563,12 @@ def count_distinct_days(x: Layers) -> DataFrame:
 
 
 def layers(spark: SparkSession, sf_dir: str) -> Layers:
-    """One set of relations per session and folder; its tables are taken not to change while the session lasts."""
+    """One set of relations per session and state of a folder: when a table's files change, they are built anew."""
     held = spark.__dict__.setdefault("_laminar_layers", {})
-    if sf_dir not in held:
-        held[sf_dir] = Layers(spark, sf_dir)
-    return held[sf_dir]
+    state = tuple(Store(spark, sf_dir).state(f"{sf_dir}/{t}.parquet") for t in adapters.TABLES)
+    if sf_dir not in held or held[sf_dir][0] != state:
+        held[sf_dir] = (state, Layers(spark, sf_dir))
+    return held[sf_dir][1]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field, fields, replace
 
 from pyspark.sql import types as T
 
@@ -81,6 +82,35 @@ class Entity:
         return self.schema.fieldNames()
 
 
+def rules_json(entity: Entity) -> str:
+    """The entity's rules and checks as a document for configuration tables; only what is set is written."""
+    said = lambda x: {k: v for k, v in asdict(x).items() if v is not None}
+    return json.dumps({"rules": [said(r) for r in entity.rules], "checks": [said(c) for c in entity.checks]})
+
+
+def with_rules(entity: Entity, document: str | None) -> Entity:
+    """entity with the rules and checks of a configuration document; ValueError if there is none or it says something unknown."""
+    if document is None:
+        raise ValueError(f"no rules are configured for {entity.name}")
+    held = json.loads(document)
+    if not isinstance(held, dict) or set(held) != {"rules", "checks"}:
+        raise ValueError(f"rules of {entity.name} need rules and checks")
+
+    def made(kind: type, values: dict):
+        if more := set(values) - {f.name for f in fields(kind)}:
+            raise ValueError(f"unknown in a {kind.__name__.lower()} of {entity.name}: {sorted(more)}")
+        return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
+
+    return replace(entity, rules=tuple(made(Rule, x) for x in held["rules"]), checks=tuple(made(Check, x) for x in held["checks"]))
+
+
+def constraints(entity: Entity) -> list[tuple[str, str, str, str]]:
+    """(entity, column, constraint, value) of every constraint that the rules and checks set."""
+    plain = {"column", "kind", "nullable", "date_format"}
+    out = [(entity.name, r.column, k, "|".join(v) if isinstance(v, tuple) else str(v)) for r in entity.rules for k, v in asdict(r).items() if k not in plain and v is not None]
+    return out + [(entity.name, ",".join(c.columns), c.kind, f"{c.parent}.{c.parent_key}" if c.parent else "") for c in entity.checks]
+
+
 def _schema(**types: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in types.items()])
 

@@ -17,7 +17,7 @@ from laminar.operators import checks, quality_report, state, survive
 from laminar.plans import gold
 from laminar.sources import files
 from laminar.sources.store import COMMIT, Store
-from laminar.specs import ENTITIES, Entity
+from laminar.specs import ENTITIES, Entity, rules_json, with_rules
 
 _L, _S, _TS = T.LongType(), T.StringType(), T.TimestampType()
 
@@ -65,9 +65,22 @@ class Pipeline:
             self.store.create(f"silver/{e.name}", silver_schema(e))
         for name, schema in (("ops/quarantine", QUARANTINE), ("ops/dq_metrics", METRICS), ("ops/manifest", MANIFEST), ("ops/source_config", CONFIG)):
             self.store.create(name, schema)
-        rows = [(e.name, f"{self.root}/landing/{e.name}", e.delivery, True, "{}") for e in self.entities.values()]
+        self.store.insert_if_absent("ops/source_config", self._seeds(), "source_name")
+
+    def _seeds(self) -> DataFrame:
+        """The declared configuration of each entity."""
+        rows = [(e.name, f"{self.root}/landing/{e.name}", e.delivery, True, rules_json(e)) for e in self.entities.values()]
         df = self.spark.createDataFrame(rows, "source_name string, raw_path string, delivery_pattern string, is_active boolean, rules string")
-        self.store.insert_if_absent("ops/source_config", df.select("source_name", "raw_path", "delivery_pattern", "is_active", F.parse_json("rules").alias("dq_rules")), "source_name")
+        return df.select("source_name", "raw_path", "delivery_pattern", "is_active", F.parse_json("rules").alias("dq_rules"))
+
+    def reseed_rules(self) -> dict:
+        """The declared rules in place of the configured ones, for entities that are configured; nothing else of a row changes."""
+        return self.store.update_if_present("ops/source_config", self._seeds(), "source_name", ["dq_rules"])
+
+    def configured(self, name: str) -> Entity:
+        """An entity with the rules that its only configuration row holds now."""
+        row = self.store.one("ops/source_config", "source_name", name, columns=[F.to_json("dq_rules").alias("rules")])
+        return with_rules(self.entities[name], row["rules"])
 
     def manifest(self, run_id: str, layer: str, entity: str | None, started: datetime, status: str, **values) -> None:
         row = {"run_id": run_id, "layer": layer, "entity_name": entity, "started_at": started, "completed_at": datetime.now(timezone.utc), "status": status, **values}
@@ -97,11 +110,14 @@ class Pipeline:
             came = files.stream_csv(self.spark, config["raw_path"], e.schema, archive)
             now = datetime.now(timezone.utc)
 
+            place = f"{self.root}/checkpoints/bronze_{name}"
+
             def land(batch: DataFrame, epoch: int) -> None:
                 rows = survive.ingested(batch, e, run_id, F.lit(now), F.col("_source_file"))
-                self.store.append(table, rows, tag=f"{run_id}/{epoch}", once=True)
+                # the checkpoint's stream and the epoch name the input: an epoch that is repeated after a crash adds nothing
+                self.store.append(table, rows, tag=f"{self.store.stream_id(place)}/{epoch}", once=True)
 
-            came.writeStream.foreachBatch(land).option("checkpointLocation", f"{self.root}/checkpoints/bronze_{name}").trigger(availableNow=True).start().awaitTermination()
+            came.writeStream.foreachBatch(land).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
             landed = self.store.changes(table, -1 if before is None else before)
             n = landed.agg(F.count(F.lit(1)), F.countDistinct("_source_file"), F.count("_rescued_data")).first()
             return {"delivery_pattern": e.delivery, "source_path": config["raw_path"], "files_processed": n[1], "rows_read": n[0], "rows_written": n[0], "rows_rescued": n[2], "version_before": before, "version_after": self.store.current_version(table)}
@@ -116,9 +132,10 @@ class Pipeline:
     def conform(self, name: str) -> dict:
         """What bronze has gained since the last run. The stream follows the commit log, so that only committed rows are
         seen, and all deliveries of a run are conformed together, whatever the micro-batches."""
-        e, table = self.entities[name], f"silver/{name}"
+        table = f"silver/{name}"
 
         def work(run_id: str) -> dict:
+            e = self.configured(name)
             before, totals = self.store.current_version(table), {"rows_read": 0, "rows_written": 0, "rows_quarantined": 0}
 
             def conform_batch(batch: DataFrame, epoch: int) -> None:
@@ -146,9 +163,9 @@ class Pipeline:
     def _conform_rows(self, e: Entity, rows: DataFrame, run_id: str, tag: str) -> dict[str, int]:
         """One pass: checks, split, upsert, soft delete, quarantine, metrics. tag names the input, so that a repeated epoch appends nothing twice."""
         tagged = checks.apply_checks(annotate(rows, e.rules), e.checks, self.parent).persist(StorageLevel.MEMORY_AND_DISK)
+        parts = survive.split(tagged, e)
+        source = survive.prepared(parts.passed, e).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            parts = survive.split(tagged, e)
-            source = survive.prepared(parts.passed, e).persist(StorageLevel.MEMORY_AND_DISK)
 
             def merge(target: DataFrame) -> tuple[DataFrame, dict]:
                 out = state.upsert(target, source, e)
@@ -171,6 +188,7 @@ class Pipeline:
             self.store.append("ops/dq_metrics", report, tag=tag, once=True)
             return {"rows_read": tagged.count(), "rows_written": metrics["rows_inserted"] + metrics["rows_updated"], "rows_quarantined": parts.failed.count()}
         finally:
+            source.unpersist()
             tagged.unpersist()
 
     def refresh_orphans(self, parent: str) -> int:

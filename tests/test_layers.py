@@ -1,15 +1,16 @@
 """Store, files, generator and two whole waves."""
 
 import threading
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from laminar.plans import reconcile
 from laminar.plans.manifest import latest_manifest
-from laminar.sources import files, generator
+from laminar.sources import adapters, files, generator
 from laminar.sources.store import ConflictError, NullInRequiredColumn, Store, with_retry
-from laminar.specs import CUSTOMERS, ENTITIES, ORDERS, PRODUCTS
+from laminar.specs import CUSTOMERS, ENTITIES, ORDERS, PRODUCTS, Rule, constraints, rules_json, with_rules
 from laminar.streaming.pipeline import Pipeline, post_images
 
 
@@ -169,6 +170,97 @@ def test_two_waves(spark, tmp_path):
     assert set(last.values()) == {"success"} and ("gold", None) in last and len(last) == 7
 
 
+def test_repeated_epochs_add_nothing(spark, tmp_path):
+    """The stream's last commit marker is lost, as after a crash between a write and its marker: the epoch is run again."""
+    p = Pipeline(spark, f"file://{tmp_path}")
+    p.bootstrap()
+    deliver(p, generator.seed_delivery(spark, 3, {"customers": 800, "products": 120, "orders": 2000}), "1")
+    p.run_wave()
+    tables = [*(f"{x}/{n}" for x in ("bronze", "silver") for n in ENTITIES), "ops/quarantine", "ops/dq_metrics"]
+    before = {t: p.store.read(t).count() for t in tables}
+    for mark in tmp_path.glob("checkpoints/*/commits/*"):
+        mark.unlink()
+    p.run_wave()
+    assert {t: p.store.read(t).count() for t in tables} == before and before["bronze/orders"] == 2025 and min(before.values()) > 0
+    # files that come later are new to the same stream
+    deliver(p, generator.delta_delivery(spark, 3, {"customers": 800, "products": 120, "orders": 2000}), "2")
+    assert p.ingest("orders")["rows_written"] > 0
+
+
+def test_rules_come_from_configuration(spark, tmp_path):
+    p = Pipeline(spark, f"file://{tmp_path}")
+    p.bootstrap()
+    assert p.configured("orders") == ORDERS and sum(len(constraints(p.configured(n))) for n in ENTITIES) == 30
+    strict = replace(PRODUCTS, rules=(*PRODUCTS.rules, Rule("cost", "number", maximum=1)))
+    rows = spark.createDataFrame([("products", rules_json(strict))], "source_name string, r string").select("source_name", F.parse_json("r").alias("dq_rules"))
+    p.store.update_if_present("ops/source_config", rows, "source_name", ["dq_rules"])
+    deliver(p, generator.seed_delivery(spark, 3, {"customers": 800, "products": 120, "orders": 2000}), "1")
+    p.ingest("products")
+    p.conform("products")
+    assert p.store.read("silver/products").filter("cost > 1").count() == 0
+    p.reseed_rules()
+    assert p.configured("products") == PRODUCTS
+    p.store.update_if_present("ops/source_config", rows.withColumn("dq_rules", F.lit(None).cast("variant")), "source_name", ["dq_rules"])
+    with pytest.raises(ValueError, match="no rules"):
+        p.configured("products")
+    p.store.append("ops/source_config", p.store.read("ops/source_config").filter("source_name = 'orders'"))
+    with pytest.raises(LookupError, match="2 rows"):
+        p.configured("orders")
+    with pytest.raises(LookupError, match="no rows"):
+        p.store.one("ops/source_config", "source_name", "none")
+    for bad in ('{"rules": []}', "[]", '{"rules": [{"column": "a", "kind": "string", "odd": 1}], "checks": []}'):
+        with pytest.raises(ValueError):
+            with_rules(PRODUCTS, bad)
+
+
+def test_long_logs_are_summarised(spark, store, monkeypatch):
+    monkeypatch.setattr("laminar.sources.store.EVERY", 4)
+    store.create("t", frame(spark, []).schema)
+    for k in range(10):
+        store.append("t", frame(spark, [(k, "x")]))
+    opened, text = [], store._text
+    monkeypatch.setattr(store, "_text", lambda path: opened.append(path) or text(path))
+    assert [c.version for c in store.commits("t")] == list(range(10)) and len(opened) == 3
+    opened.clear()
+    assert store.current_version("t") == 9 and opened == []
+    assert store.read("t").count() == 10 and store.read("t", version=4).count() == 5
+
+
+def test_two_writers_never_make_one_version(spark, store):
+    store.create("t", frame(spark, []).schema)
+    path = f"{store.commits_dir('t')}/{0:020d}.json"
+    store._create(path, "{}")
+    with pytest.raises(ConflictError):
+        store._create(path, "other")
+    assert store._text(path) == "{}"
+    won = []
+
+    def race(k):
+        try:
+            store._create(f"{store.commits_dir('t')}/{7:020d}.json", str(k))
+            won.append(k)
+        except ConflictError:
+            pass
+
+    threads = [threading.Thread(target=race, args=(k,)) for k in range(6)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(won) == 1 and store._text(f"{store.commits_dir('t')}/{7:020d}.json") == str(won[0])
+
+
+def test_changed_tables_are_read_again(spark, sf_dir, tmp_path):
+    import shutil
+
+    from laminar import queries
+
+    for t in adapters.TABLES:
+        shutil.copy(f"{sf_dir}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    one = queries.layers(spark, str(tmp_path))
+    assert queries.layers(spark, str(tmp_path)) is one
+    shutil.copy("/root/testdata/sf0.01/part.parquet", f"{tmp_path}/part.parquet")
+    assert queries.layers(spark, str(tmp_path)) is not one
+
+
 def test_failed_runs_leave_a_manifest_row(spark, tmp_path):
     p = Pipeline(spark, f"file://{tmp_path}")
     p.bootstrap()
