@@ -36,7 +36,7 @@ WIDE = LEAST - GRAM + 1
 #: Window starts taken at a time; bytes of text in a group of documents; anchors and runs in a bucket.
 PART, GROUP, BUCKET = 1 << 19, 2_000_000, 150_000
 #: Runs in a bucket beyond which it is dealt anew.
-HOT = 600_000
+HOT = 1_000_000
 SEED = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 #: MULT to the powers 1, 2, 4, ...
 MULT = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(8)]
@@ -168,10 +168,10 @@ def _slices(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, hashes, grps, many): the distinct anchors of each batch's documents by group.
+    """(bucket, hashes, grps, many): the distinct anchors of each batch's documents by group; many: how many documents of the batch have it.
 
     An anchor that stands in more than one document of a batch is shared whatever other batches hold. One of its groups says so to
-    the anchor's bucket (many), the others go past it, in buckets below 0: an anchor that all documents have makes a row for
+    the anchor's bucket, the others go past it, in buckets below 0: an anchor that all documents have makes a row for
     each batch there, not for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,16 +191,19 @@ def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
             anchor = keys >> np.uint64(24)
             head = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), anchor[1:] != anchor[:-1]]))
             size = np.diff(np.concatenate([head, [len(keys)]]))
-            many = np.repeat((np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)) if len(head) else np.zeros(0, bool), size)
+            run_ = np.repeat(np.arange(len(head)), size)
+            order = np.lexsort((doc, run_))
+            other = np.concatenate([np.ones(min(1, len(keys)), bool), (doc[order][1:] != doc[order][:-1]) | (run_[order][1:] != run_[order][:-1])])
+            many = np.bincount(run_[order][other], minlength=len(head))[run_]
             lead = np.zeros(len(keys), bool)
             lead[head] = True
             new = np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])  # a group's first row of an anchor
             keys, anchor, many, lead = keys[new], anchor[new], many[new], lead[new]
             group_ = (keys & np.uint64((1 << 24) - 1)).astype(np.uint32)
-            bucket = np.where(many & ~lead, -1 - (group_ % buckets).astype(np.int64), (anchor % np.uint64(buckets)).astype(np.int64))
+            bucket = np.where((many > 1) & ~lead, -1 - (group_ % buckets).astype(np.int64), (anchor % np.uint64(buckets)).astype(np.int64))
             out: list[list] = [[], [], [], []]
             for b, at in _slices(bucket):
-                for col, x in zip(out, (b, _five(anchor[at]), group_[at].tobytes(), many[at].tobytes()), strict=True):
+                for col, x in zip(out, (b, _five(anchor[at]), group_[at].tobytes(), many[at].astype(np.uint32).tobytes()), strict=True):
                     col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["bucket", "hashes", "grps", "many"])
 
@@ -208,22 +211,25 @@ def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _shared(anchors: DataFrame) -> DataFrame:
-    """(grp, hashes): for each group its anchors that stand in more than one document of the corpus, a row from each bucket."""
+    """(grp, hashes, n): for each group its anchors that stand in more than one document of the corpus, a row from each bucket; and a
+    row with grp -1 for each bucket, with the number of documents at its shared anchors."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a = np.concatenate([_from_five(x) for x in pdf["hashes"]])
         g = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["grps"]])
-        many = np.concatenate([np.frombuffer(x, bool) for x in pdf["many"]])
+        many = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["many"]]).astype(np.int64)
         order = np.argsort(a, kind="stable")
         a, g, many = a[order], g[order], many[order]
         head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        size = np.diff(np.concatenate([head, [len(a)]]))
-        hit = np.repeat((size > 1) | np.logical_or.reduceat(many, head), size)
+        size, held = np.diff(np.concatenate([head, [len(a)]])), np.add.reduceat(many, head)
+        hit = np.repeat(held > 1, size)
         a, g = a[hit], g[hit].astype(np.int64)
-        rows = [(k, _five(np.unique(a[at]))) for k, at in _slices(g)]
-        return pd.DataFrame(rows, columns=["grp", "hashes"])
+        rows = [(k, _five(np.unique(a[at])), 0) for k, at in _slices(g)]
+        if pdf["bucket"].iloc[0] >= 0:
+            rows.append((-1, b"", int(held[held > 1].sum())))
+        return pd.DataFrame(rows, columns=["grp", "hashes", "n"])
 
-    return anchors.groupBy("bucket").applyInPandas(run, "grp int, hashes binary")
+    return anchors.groupBy("bucket").applyInPandas(run, "grp int, hashes binary, n long")
 
 
 class Held:
@@ -574,8 +580,12 @@ def _plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = docs.withColumns({"_grp": grp, "_id": F.coalesce("doc_id", F.lit(LAST)), "text": text})
     least = own.select("_grp", "_id", "text")
     shared = stash(_shared(_anchors(least, buckets)), "shared")
+    most = shared.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    shared = shared.filter("grp >= 0").select("grp", "hashes")
     runs = least.groupBy("_grp").cogroup(shared.groupBy("grp")).applyInPandas(_runs(buckets), RUNS)
-    runs, strings = _cooled(stash(runs, "runs"))
+    # equal runs of a group are one, so a bucket's runs are at most the places of its anchors: about one for each document that has them.
+    # Only if the documents at some bucket's anchors are that many, runs are written and counted; both ways are exact
+    runs, strings = (runs, None) if most <= HOT else _cooled(stash(runs, "runs"))
     found = runs.groupBy("bucket").applyInPandas(_meet, FOUND)
     if strings is not None:
         found = found.unionByName(_of_strings(strings))
