@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laminar.llm.common import partitions, plain, release, stash
+from laminar.llm.common import partitions, plain, release, stash, sweep
 
 #: Bytes of a repeat, of a k-gram; the k-grams in a string.
 LEAST, GRAM = 50, 24
@@ -159,6 +159,15 @@ def _from_five(raw: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0].astype(np.uint64)
 
 
+def _logs(n: np.ndarray) -> bytes:
+    """Numbers from 1 on in a byte each, rounded up by at most six in a hundred; 1 stays 1."""
+    return np.minimum(np.ceil(np.log(n) / np.log(1.06) - 1e-9), 255).astype(np.uint8).tobytes()
+
+
+def _from_logs(raw: bytes) -> np.ndarray:
+    return np.ceil(1.06 ** np.frombuffer(raw, np.uint8).astype(np.float64)).astype(np.int64)
+
+
 def _slices(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket with the places that have it, in order."""
     order = np.argsort(bucket, kind="stable")
@@ -203,7 +212,7 @@ def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
             bucket = np.where((many > 1) & ~lead, -1 - (group_ % buckets).astype(np.int64), (anchor % np.uint64(buckets)).astype(np.int64))
             out: list[list] = [[], [], [], []]
             for b, at in _slices(bucket):
-                for col, x in zip(out, (b, _five(anchor[at]), group_[at].tobytes(), many[at].astype(np.uint32).tobytes()), strict=True):
+                for col, x in zip(out, (b, _five(anchor[at]), group_[at].tobytes(), _logs(many[at])), strict=True):
                     col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["bucket", "hashes", "grps", "many"])
 
@@ -217,7 +226,7 @@ def _shared(anchors: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a = np.concatenate([_from_five(x) for x in pdf["hashes"]])
         g = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["grps"]])
-        many = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["many"]]).astype(np.int64)
+        many = np.concatenate([_from_logs(x) for x in pdf["many"]])
         order = np.argsort(a, kind="stable")
         a, g, many = a[order], g[order], many[order]
         head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
@@ -580,6 +589,7 @@ def _plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = docs.withColumns({"_grp": grp, "_id": F.coalesce("doc_id", F.lit(LAST)), "text": text})
     least = own.select("_grp", "_id", "text")
     shared = stash(_shared(_anchors(least, buckets)), "shared")
+    sweep(spark)  # of the shuffled anchors
     most = shared.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     shared = shared.filter("grp >= 0").select("grp", "hashes")
     runs = least.groupBy("_grp").cogroup(shared.groupBy("grp")).applyInPandas(_runs(buckets), RUNS)
