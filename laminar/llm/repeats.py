@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ LEAST, GRAM = 50, 24
 WIDE = LEAST - GRAM + 1
 #: Window starts taken at a time; bytes of text in a group of documents; anchors and runs in a bucket.
 PART, GROUP, BUCKET = 1 << 19, 2_000_000, 150_000
+#: Bytes of text whose anchors are sorted at a time.
+BATCH = 8_000_000
 #: Runs in a bucket beyond which it is dealt anew.
 HOT = 1_000_000
 SEED = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -186,39 +189,50 @@ def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            texts = [t.as_py().encode("utf-8", "replace") for t in batch.column("text")]
-            text, ends = _together(texts)
-            group = batch.column("_grp").to_numpy().astype(np.uint64)
-            keys, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for anchor, first, _ in runs_of(text, ends):
-                d = np.searchsorted(ends, first, "right")
-                keys.append((anchor << np.uint64(24)) | group[d])
-                doc.append(d)
-            keys, doc = np.concatenate(keys), np.concatenate(doc)
-            order = np.argsort(keys, kind="stable")
-            keys, doc = keys[order], doc[order]
-            anchor = keys >> np.uint64(24)
-            head = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), anchor[1:] != anchor[:-1]]))
-            size = np.diff(np.concatenate([head, [len(keys)]]))
-            run_ = np.repeat(np.arange(len(head)), size)
-            order = np.lexsort((doc, run_))
-            other = np.concatenate([np.ones(min(1, len(keys)), bool), (doc[order][1:] != doc[order][:-1]) | (run_[order][1:] != run_[order][:-1])])
-            many = np.bincount(run_[order][other], minlength=len(head))[run_]
-            lead = np.zeros(len(keys), bool)
-            lead[head] = True
-            new = np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])  # a group's first row of an anchor
-            keys, anchor, many, lead = keys[new], anchor[new], many[new], lead[new]
-            group_ = (keys & np.uint64((1 << 24) - 1)).astype(np.uint32)
-            bucket = np.where((many > 1) & ~lead, -1 - (group_ % buckets).astype(np.int64), (anchor % np.uint64(buckets)).astype(np.int64))
-            out: list[list] = [[], [], [], []]
-            for b, at in _slices(bucket):
-                for col, x in zip(out, (b, _five(anchor[at]), group_[at].tobytes(), _logs(many[at])), strict=True):
-                    col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["bucket", "hashes", "grps", "many"])
+            for at, stop in _bounded(batch.column("text")):
+                text, ends = _together([t.as_py().encode("utf-8", "replace") for t in batch.column("text").slice(at, stop - at)])
+                yield _distinct_anchors(text, ends, batch.column("_grp").slice(at, stop - at).to_numpy().astype(np.uint64), buckets)
 
     return docs.select("_grp", "text").mapInArrow(run, "bucket int, hashes binary, grps binary, many binary")
 
 
+def _bounded(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts, of one text or at most BATCH bytes, so that memory stays bounded whatever an Arrow batch holds."""
+    first, size = 0, 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if k > first and size + n > BATCH:
+            yield first, k
+            first, size = k, 0
+        size += n
+    if len(texts):
+        yield first, len(texts)
+
+
+def _distinct_anchors(text: np.ndarray, ends: np.ndarray, group: np.ndarray, buckets: int) -> pa.RecordBatch:
+    keys, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for anchor, first, _ in runs_of(text, ends):
+        d = np.searchsorted(ends, first, "right")
+        keys.append((anchor << np.uint64(24)) | group[d])
+        doc.append(d.astype(np.int32))
+    keys, doc = np.concatenate(keys), np.concatenate(doc)
+    order = np.lexsort((doc, keys))
+    keys, doc = keys[order], doc[order]
+    anchor = keys >> np.uint64(24)
+    head = np.concatenate([np.ones(min(1, len(keys)), bool), anchor[1:] != anchor[:-1]])
+    new = np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])  # a group's first row of an anchor
+    # a document is in one group, so within a group's rows of an anchor equal documents stand together
+    other = new | np.concatenate([np.ones(min(1, len(keys)), bool), doc[1:] != doc[:-1]])
+    many = np.add.reduceat(other.astype(np.int64), np.flatnonzero(head))[np.cumsum(head) - 1][new] if len(keys) else np.zeros(0, np.int64)
+    keys, anchor, lead = keys[new], anchor[new], head[new]
+    group_ = (keys & np.uint64((1 << 24) - 1)).astype(np.uint32)
+    bucket = np.where((many > 1) & ~lead, -1 - (group_ % buckets).astype(np.int64), (anchor % np.uint64(buckets)).astype(np.int64))
+    out: list[list] = [[], [], [], []]
+    for b, at in _slices(bucket):
+        for col, x in zip(out, (b, _five(anchor[at] & np.uint64((1 << 40) - 1)), group_[at].tobytes(), _logs(many[at])), strict=True):
+            col.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["bucket", "hashes", "grps", "many"])
+
+
 def _shared(anchors: DataFrame) -> DataFrame:
     """(grp, hashes, n): for each group its anchors that stand in more than one document of the corpus, a row from each bucket; and a
     row with grp -1 for each bucket, with the number of documents at its shared anchors."""
