@@ -15,6 +15,7 @@ extra columns are left out; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +60,28 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -60.0), 60.0))))
 
 
-def ratios(rows: list[np.ndarray], y: np.ndarray, sure: float = 4.0) -> np.ndarray:
+def pack(found: np.ndarray) -> bytes:
+    """Features, which are in order, by their differences and compressed."""
+    gaps = np.diff(found.astype(np.int64), prepend=-1)
+    small = gaps.max(initial=0) < 1 << 16
+    return bytes([small]) + zlib.compress(gaps.astype("<u2" if small else "<u4").tobytes(), 1)
+
+
+class Packed:
+    """The features of some texts, each unpacked when it is its turn."""
+
+    def __init__(self, parts: list[bytes]):
+        self.parts = parts
+
+    def __len__(self) -> int:
+        return len(self.parts)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        for raw in self.parts:
+            yield np.cumsum(np.frombuffer(zlib.decompress(raw[1:]), "<u2" if raw[0] else "<u4"), dtype=np.int64) - 1
+
+
+def ratios(rows: list[np.ndarray] | Packed, y: np.ndarray, sure: float = 4.0) -> np.ndarray:
     """Each feature's naive Bayes log-count ratio between toxic and clean texts; 0 unless it is `sure` times its standard error."""
     p, q = np.ones(1 << BITS), np.ones(1 << BITS)
     for r, toxic in zip(rows, y, strict=True):
@@ -69,7 +91,7 @@ def ratios(rows: list[np.ndarray], y: np.ndarray, sure: float = 4.0) -> np.ndarr
     return ratio
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, penalty: float = 1e-3, rounds: int = 200) -> Model:
+def fit(rows: list[np.ndarray] | Packed, y: np.ndarray, penalty: float = 1e-3, rounds: int = 200) -> Model:
     """rows: the features of each text; y: 1 for toxic. Both classes weigh alike; features whose ratio may be chance are left out."""
     size = 1 << BITS
     share = float(y.mean()) if len(y) else 0.0
@@ -100,7 +122,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, penalty: float = 1e-3, rounds: in
     return Model((w * ratio).astype(np.float32), float(b))
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int) -> tuple[list[np.ndarray], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int) -> tuple[Packed, np.ndarray]:
     """The features and labels of at most per_class toxic and twice as many clean rows, by a hash of doc_id."""
     own = labels.filter(learn).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     first = [own.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((0, 2 * per_class), (1, per_class))]
@@ -111,11 +133,11 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, bool)
         for batch in batches:
-            found = [features(t.as_py().encode("utf-8", "replace"), seen).astype(np.uint32).tobytes() for t in batch.column("text")]
+            found = [pack(features(t.as_py().encode("utf-8", "replace"), seen)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(found, pa.binary())], ["doc_id", "toxic", "f"])
 
     got = rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, f binary").toPandas().sort_values(["doc_id", "toxic"])
-    return [np.frombuffer(f, np.uint32) for f in got["f"]], got["toxic"].to_numpy(np.int64)
+    return Packed(list(map(bytes, got["f"]))), got["toxic"].to_numpy(np.int64)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
