@@ -63,7 +63,7 @@ class Model:
 def pack(found: np.ndarray) -> bytes:
     """Features, which are in order, by their differences and compressed."""
     gaps = np.diff(found.astype(np.int64), prepend=-1)
-    small = gaps.max(initial=0) < 1 << 16
+    small = bool(gaps.max(initial=0) < 1 << 16)
     return bytes([small]) + zlib.compress(gaps.astype("<u2" if small else "<u4").tobytes(), 1)
 
 
