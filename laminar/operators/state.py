@@ -26,8 +26,9 @@ def _action() -> Column:
 
 
 def upsert_actions(target: DataFrame, source: DataFrame, entity: Entity) -> DataFrame:
-    """(key, action): insert new keys, update those whose hash, deletion or orphan flag differs, keep the rest."""
-    return _met(target, source, entity).select(F.coalesce(f"t.{entity.key}", f"s.{entity.key}").alias(entity.key), _action().alias("action"))
+    """(key, action): insert new keys, update those whose hash, deletion or orphan flag differs, keep the rest. Only those columns are read."""
+    told = [entity.key, "_row_hash", "_is_deleted", "_is_orphan"]
+    return _met(target.select(*told), source.select(*told), entity).select(F.coalesce(f"t.{entity.key}", f"s.{entity.key}").alias(entity.key), _action().alias("action"))
 
 
 def upsert(target: DataFrame, source: DataFrame, entity: Entity) -> DataFrame:

@@ -157,6 +157,36 @@ _SHOW = "SELECT order_id, _batch_id AS batch_id, h AS row_hash FROM val_o WHERE"
 _REJECT = "(bad OR delivery_rank > 1)"
 
 
+def _wave(body: str) -> str:
+    """Over the tables as two waves leave them: orders of the second delivery stand in for those of the first."""
+    cols = ", ".join(_COLUMNS["orders"])
+    ctes = [
+        *_CTES,
+        f"wave_o AS (SELECT {cols}, h, is_orphan FROM silver_o2 UNION ALL SELECT {cols}, h, is_orphan FROM silver_o1 WHERE order_id NOT IN (SELECT order_id FROM silver_o2))",
+        "wave_q AS (SELECT * FROM wave_o WHERE order_status = 'Completed' AND NOT is_orphan)",
+        *[f"twice_{s} AS (SELECT *, 0 AS wave FROM val_{s} UNION ALL SELECT *, 1 FROM val_{s} WHERE {_KEY[e]} % {_DELETED[e]} <> 0)" for e, s in _S.items() if e != "orders"],
+        "twice_o AS (SELECT *, 0 AS wave FROM val_o1 UNION ALL SELECT *, 1 FROM val_o2)",
+    ]
+    return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+def _wave_metrics() -> str:
+    parts = []
+    for e, s in _S.items():
+        for c in ("completeness", "type_logic", "uniqueness", "referential"):
+            if c == "referential" and e == "orders":  # parents were all there when the first orders came, and some were gone when the second did
+                lost = " OR ".join(f"({k} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM silver_{p} z WHERE z.{k} = y.{k} AND (wave = 0 OR NOT z.is_deleted)))" for k, p in (("customer_id", "c"), ("product_id", "p")))
+                parts.append(f"SELECT '{e}' AS entity_name, '{c}' AS check_category, count(*) AS n, count(*) FILTER ({lost}) AS f FROM twice_{s} y")
+            else:
+                parts.append(f"SELECT '{e}' AS entity_name, '{c}' AS check_category, count(*) AS n, count(*) FILTER ({_any(e, c)}) AS f FROM twice_{s}")
+    return _wave(f"SELECT entity_name, check_category, CAST(n AS BIGINT) AS evaluated, CAST(f AS BIGINT) AS quarantined FROM ({' UNION ALL '.join(parts)}) m")
+
+
+_LANDED = " UNION ALL ".join(
+    f"SELECT '{e}' AS entity, CAST(wave AS BIGINT) AS version, '{'incremental' if e == 'orders' else 'full_snapshot'}' AS delivery, CAST(count(*) AS BIGINT) AS n, CAST(1 AS BIGINT) AS batches FROM twice_{s} GROUP BY wave" for e, s in _S.items()
+)
+
+
 #: The declared constraints (fixed values).
 _RULES = """
 SELECT * FROM (VALUES
@@ -251,6 +281,23 @@ def oracle_sql() -> dict[str, str]:
         "dash_filter_date": _sql(_TRENDS + " WHERE order_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'"),
         "dash_filter_category": _sql(f"SELECT product_name, category, CAST(sum(total_revenue) AS DECIMAL(28,2)) AS total_revenue FROM ({_TOP}) x GROUP BY ALL"),
         "dash_filter_segment": _sql("SELECT CAST(sum(CASE WHEN total_orders > 0 THEN 1 ELSE 0 END) AS BIGINT) AS active_customers FROM revenue WHERE customer_segment = 'Premium'"),
+        "wave_bronze_landed": _wave(f"SELECT {', '.join(_COLUMNS['products'])}, CAST(NULL AS VARCHAR) AS rescued FROM twice_p"),
+        "wave_bronze_batches": _wave(_LANDED),
+        "wave_change_feed": _wave("SELECT order_id, 'insert' AS change_type, CAST(1 AS BIGINT) AS version FROM raw_o WHERE _batch_id = 'b2'"),
+        "wave_silver_orders": _wave("SELECT order_id, customer_id, product_id, total_amount, h AS row_hash, is_orphan FROM wave_o"),
+        "wave_silver_customers": _wave("SELECT customer_id, email, is_deleted FROM silver_c"),
+        "wave_time_travel": _wave("SELECT customer_id, FALSE AS is_deleted FROM silver_c"),
+        "wave_history": _wave("""SELECT CAST(0 AS BIGINT) AS version, 'MERGE' AS operation, CAST(count(*) AS BIGINT) AS n FROM silver_c
+            UNION ALL SELECT 1, 'SOFT DELETE', count(*) FROM silver_c WHERE is_deleted"""),
+        "wave_quarantine": _wave(" UNION ALL ".join(f"SELECT '{e}' AS entity_name, CAST(count(*) AS BIGINT) AS n FROM twice_{s} WHERE {_REJECT}" for e, s in _S.items())),
+        "wave_dq_metrics": _wave_metrics(),
+        "wave_gold_sales": _wave(f"""SELECT p.product_id, p.product_name, p.category, CAST(count(q.order_id) AS BIGINT) AS total_orders, CAST(coalesce(sum(q.total_amount), 0) AS DECIMAL(18,2)) AS total_revenue,
+            {_cents("sum(q.total_amount)", "count(q.order_id)")} AS avg_order_value FROM silver_p p LEFT JOIN wave_q q ON q.product_id = p.product_id WHERE NOT p.is_deleted GROUP BY ALL"""),
+        "wave_gold_revenue": _wave(f"""SELECT c.customer_id, c.customer_name, c.customer_segment, CAST(count(q.order_id) AS BIGINT) AS total_orders, CAST(coalesce(sum(q.total_amount), 0) AS DECIMAL(18,2)) AS total_revenue,
+            {_cents("sum(q.total_amount)", "count(q.order_id)")} AS avg_order_value, CAST(coalesce(sum(q.total_amount), 0) AS DECIMAL(18,2)) AS lifetime_value_actual, max(q.order_date) AS last_order_date
+            FROM silver_c c LEFT JOIN wave_q q ON q.customer_id = c.customer_id WHERE NOT c.is_deleted GROUP BY c.customer_id, c.customer_name, c.customer_segment"""),
+        "wave_manifest": _wave("""SELECT 'bronze' AS layer, entity AS entity_name, 'success' AS status, n AS landed FROM (""" + _LANDED + """) l WHERE version = 1
+            UNION ALL SELECT 'silver', entity, 'success', NULL FROM (VALUES ('customers'), ('products'), ('orders')) v(entity) UNION ALL SELECT 'gold', NULL, 'success', NULL"""),
         "recon_full_outer_diff": _sql("""SELECT CAST(count(*) FILTER (r.product_id IS NULL) AS BIGINT) AS only_left, CAST(count(*) FILTER (s.product_id IS NULL) AS BIGINT) AS only_right,
             CAST(count(*) FILTER (r.product_id IS NOT NULL AND s.product_id IS NOT NULL AND r.n <> s.total_orders) AS BIGINT) AS different
             FROM sales s FULL JOIN (SELECT product_id, count(*) AS n FROM q GROUP BY product_id) r ON s.product_id = r.product_id"""),

@@ -14,10 +14,11 @@ from laminar.functions.rules import annotate, predicates, violation
 from laminar.operators import checks, quality_report, state, survive
 from laminar.plans import dashboard, gold, reconcile
 from laminar.plans.manifest import latest_manifest
-from laminar.sources import adapters
+from laminar.sources import adapters, files
 from laminar.sources.store import Store, shared_dir
 from laminar.specs import CUSTOMERS, ORDERS, PRODUCTS, Entity, Rule, constraints, orders_entity, rules_json, with_rules
 from laminar.specs import ENTITIES as DECLARED
+from laminar.streaming.pipeline import Pipeline
 
 ORDERS_HERE = orders_entity(adapters.FIRST_DAY)
 ENTITIES = {"customers": CUSTOMERS, "products": PRODUCTS, "orders": ORDERS_HERE}
@@ -105,6 +106,26 @@ class Layers:
         """Conformed orders whose orphan flags were true before parents came or went."""
         return self.silver("orders").withColumn("_is_orphan", F.when(F.col("order_id") % 31 == 0, ~F.col("_is_orphan")).otherwise(F.col("_is_orphan")))
 
+    def wave(self) -> Pipeline:
+        """Two waves of CSV deliveries, through streams and tables: the whole snapshots and the first orders, then snapshots that leave out
+        the planted deletions and the second orders."""
+
+        def make() -> Pipeline:
+            p = Pipeline(self.spark, f"{shared_dir(self.spark)}/wave-{uuid.uuid4().hex}", ENTITIES)
+            p.bootstrap()
+            for batch in ("b1", "b2"):
+                for name, e in ENTITIES.items():
+                    rows = self.raw(name)
+                    if name == "orders":
+                        rows = rows.filter(F.col("_batch_id") == batch)
+                    elif batch == "b2":
+                        rows = rows.filter(F.col(e.key) % DELETED[name] != 0)
+                    files.write_csv(rows.select(*e.columns), f"{p.root}/landing/{name}", mode="append")
+                p.run_wave()
+            return p
+
+        return self._once("wave", make)
+
     def quarantine(self, name: str) -> DataFrame:
         return quality_report.quarantine_rows(self.split(name).failed, ENTITIES[name], "run", stamp())
 
@@ -523,6 +544,84 @@ def dq_rules_loaded(x: Layers) -> DataFrame:
     return x.spark.createDataFrame(rows, "source_name string, col string, rule string, value string")
 
 
+# two waves through files, streams and tables
+
+
+@query
+def wave_bronze_landed(x: Layers) -> DataFrame:
+    """What the file stream appended: every line of every delivery."""
+    return x.wave().store.read("bronze/products").select(*PRODUCTS.columns, F.col("_rescued_data").alias("rescued"))
+
+
+@query
+def wave_bronze_batches(x: Layers) -> DataFrame:
+    """Rows per entity and delivery, in the order of their commits."""
+    made = []
+    for name in ENTITIES:
+        feed = x.wave().store.changes(f"bronze/{name}")
+        made.append(feed.groupBy("_commit_version", "_delivery_pattern").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_batch_id").alias("batches")).withColumn("entity", F.lit(name)))
+    return made[0].union(made[1]).union(made[2]).withColumnsRenamed({"_commit_version": "version", "_delivery_pattern": "delivery"})
+
+
+@query
+def wave_change_feed(x: Layers) -> DataFrame:
+    feed = x.wave().store.changes("bronze/orders", after=0)
+    return feed.select("order_id", F.col("_change_type").alias("change_type"), F.col("_commit_version").alias("version"))
+
+
+@query
+def wave_silver_orders(x: Layers) -> DataFrame:
+    """Conformed orders after both merges and the refreshes of their orphan flags."""
+    return x.wave().parent("orders").select("order_id", "customer_id", "product_id", "total_amount", F.col("_row_hash").alias("row_hash"), F.col("_is_orphan").alias("is_orphan"))
+
+
+@query
+def wave_silver_customers(x: Layers) -> DataFrame:
+    return x.wave().parent("customers").select("customer_id", "email", F.col("_is_deleted").alias("is_deleted"))
+
+
+@query
+def wave_time_travel(x: Layers) -> DataFrame:
+    """Customers as they were before the second snapshot."""
+    return x.wave().store.read("silver/customers", version=0).select("customer_id", F.col("_is_deleted").alias("is_deleted"))
+
+
+@query
+def wave_history(x: Layers) -> DataFrame:
+    """The commits of customers, with how many rows each changed."""
+    log = x.wave().store.history("silver/customers")
+    changed = F.aggregate(F.transform(F.map_values("metrics"), lambda v: v.cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
+    return log.select("version", "operation", changed.alias("n"))
+
+
+@query
+def wave_quarantine(x: Layers) -> DataFrame:
+    return x.wave().store.read("ops/quarantine").groupBy("entity_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def wave_dq_metrics(x: Layers) -> DataFrame:
+    """Rows judged in both waves, per entity and category."""
+    return x.wave().store.read("ops/dq_metrics").groupBy("entity_name", "check_category").agg(F.sum("rows_evaluated").alias("evaluated"), F.sum("rows_quarantined").alias("quarantined"))
+
+
+@query
+def wave_gold_sales(x: Layers) -> DataFrame:
+    return x.wave().store.read("gold/sales_by_product")
+
+
+@query
+def wave_gold_revenue(x: Layers) -> DataFrame:
+    return x.wave().store.read("gold/revenue_by_customer")
+
+
+@query
+def wave_manifest(x: Layers) -> DataFrame:
+    """The last run of each layer and entity."""
+    last = latest_manifest(x.wave().store.read("ops/manifest"))
+    return last.select("layer", "entity_name", "status", F.when(F.col("layer") == "bronze", F.col("rows_written")).alias("landed"))
+
+
 # reconciliation
 
 

@@ -16,7 +16,7 @@ from laminar.functions.rules import VIOLATIONS, annotate
 from laminar.operators import checks, quality_report, state, survive
 from laminar.plans import gold
 from laminar.sources import files
-from laminar.sources.store import COMMIT, Store
+from laminar.sources.store import COMMIT, PARTS, Store
 from laminar.specs import ENTITIES, Entity, rules_json, with_rules
 
 _L, _S, _TS = T.LongType(), T.StringType(), T.TimestampType()
@@ -53,8 +53,8 @@ GOLD = {
 
 
 class Pipeline:
-    def __init__(self, spark: SparkSession, root: str, entities: dict[str, Entity] | None = None):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, entities: dict[str, Entity] | None = None, parts: int = PARTS):
+        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
         self.entities = entities or ENTITIES
         self.store = Store(spark, f"{self.root}/tables")
 
@@ -62,7 +62,7 @@ class Pipeline:
         """All tables and one configuration row per entity; safe to repeat."""
         for e in self.entities.values():
             self.store.create(f"bronze/{e.name}", bronze_schema(e))
-            self.store.create(f"silver/{e.name}", silver_schema(e))
+            self.store.create(f"silver/{e.name}", silver_schema(e), e.key, self.parts)
         for name, schema in (("ops/quarantine", QUARANTINE), ("ops/dq_metrics", METRICS), ("ops/manifest", MANIFEST), ("ops/source_config", CONFIG)):
             self.store.create(name, schema)
         self.store.insert_if_absent("ops/source_config", self._seeds(), "source_name")
@@ -167,26 +167,28 @@ class Pipeline:
         source = survive.prepared(parts.passed, e).persist(StorageLevel.MEMORY_AND_DISK)
         try:
 
-            def merge(target: DataFrame) -> tuple[DataFrame, dict]:
-                out = state.upsert(target, source, e)
-                n = out.agg(F.count_if(F.col("_action") == "insert"), F.count_if(F.col("_action") == "update")).first()
-                return out.drop("_action"), {"rows_inserted": n[0], "rows_updated": n[1]}
-
-            metrics = self.store.change(f"silver/{e.name}", merge, "MERGE", tag)
+            written = self.store.amend(
+                f"silver/{e.name}",
+                lambda target: state.upsert_actions(target, source, e).filter("action <> 'keep'"),
+                lambda target, within: state.upsert(target, within(source), e).drop("_action"),
+                "MERGE", tag,
+            )
             if e.delivery == "full_snapshot":
                 # one delivery states the whole world: the latest complete one
                 last = tagged.orderBy(F.desc("_ingest_timestamp"), F.desc("_batch_id")).select("_batch_id").first()
                 snapshot = tagged.filter(F.col("_batch_id") == (last[0] if last else None))
 
-                def delete(target: DataFrame) -> tuple[DataFrame, dict]:
-                    return state.soft_delete(target, snapshot, e), {"rows_deleted": state.missing_keys(target, snapshot, e).count()}
-
-                self.store.change(f"silver/{e.name}", delete, "SOFT DELETE", tag)
+                self.store.amend(
+                    f"silver/{e.name}",
+                    lambda target: state.missing_keys(target, snapshot, e).withColumn("action", F.lit("delete")),
+                    lambda target, within: state.soft_delete(target, within(snapshot), e),
+                    "SOFT DELETE", tag,
+                )
             failed = quality_report.quarantine_rows(parts.failed, e, run_id)
             self.store.append("ops/quarantine", failed, tag=tag, once=True)
             report = quality_report.quality_metrics(tagged, e).withColumns({"silver_run_id": F.lit(run_id), "run_at": F.current_timestamp()})
             self.store.append("ops/dq_metrics", report, tag=tag, once=True)
-            return {"rows_read": tagged.count(), "rows_written": metrics["rows_inserted"] + metrics["rows_updated"], "rows_quarantined": parts.failed.count()}
+            return {"rows_read": tagged.count(), "rows_written": sum(written.values()), "rows_quarantined": parts.failed.count()}
         finally:
             source.unpersist()
             tagged.unpersist()
@@ -198,11 +200,14 @@ class Pipeline:
             if parent not in {p for p, _ in e.foreign_keys.values()}:
                 continue
 
-            def heal(child: DataFrame, e: Entity = e) -> tuple[DataFrame, dict]:
-                parents = {p: self.parent(p) for p, _ in e.foreign_keys.values()}
-                return state.refresh_orphans(child, parents, e), {"rows_changed": state.orphan_changes(child, parents, e).count()}
-
-            total += self.store.change(f"silver/{e.name}", heal, "REFRESH ORPHANS", f"after {parent}")["rows_changed"]
+            parents = {p: self.parent(p) for p, _ in e.foreign_keys.values()}
+            changed = self.store.amend(
+                f"silver/{e.name}",
+                lambda child, e=e, parents=parents: state.orphan_changes(child, parents, e).withColumn("action", F.lit("flag")),
+                lambda child, within, e=e, parents=parents: state.refresh_orphans(child, parents, e),
+                "REFRESH ORPHANS", f"after {parent}",
+            )
+            total += sum(changed.values())
         return total
 
     # gold

@@ -279,3 +279,33 @@ def test_no_row_loops_or_rdds_in_the_engine():
         if "llm" not in f.parts:
             text = f.read_text()
             assert ".rdd" not in text and "parallelize" not in text and "import laminar.llm" not in text and "from laminar.llm" not in text, f
+
+
+def test_merges_leave_other_parts_alone(spark, store):
+    """A change of a few keys of a dealt table writes their parts; the files of all others stay in place, and earlier versions can be read."""
+    store.create("t", frame(spark, []).schema, "k", 8)
+
+    def amend(rows, operation="MERGE"):
+        new = frame(spark, rows)
+        plan = lambda old: new.join(old.select("k", F.col("v").alias("was")), "k", "left").filter("was IS NULL OR was <> v").select("k", F.expr("if(was IS NULL, 'insert', 'update')").alias("action"))
+        make = lambda old, within: within(new).unionByName(old.join(new, "k", "left_anti"))
+        return store.amend("t", plan, make, operation)
+
+    assert amend([(k, "a") for k in range(100)]) == {"insert": 100}
+    first = {path for path, _ in store._live("t")}
+    assert len(first) == 8
+    assert amend([(5, "b"), (6, "a")]) == {"update": 1}
+    second = {path for path, _ in store._live("t")}
+    assert len(second - first) == 1 and len(first & second) == 7
+    assert {r["k"]: r["v"] for r in store.read("t").collect()} == {k: "b" if k == 5 else "a" for k in range(100)}
+    assert store.read("t", version=0).filter("v = 'b'").isEmpty()
+    assert amend([(5, "b")]) == {} and store.current_version("t") == 1
+    assert amend([(200, "n")]) == {"insert": 1} and store.read("t").count() == 101
+    touched = store.commits("t")[1]
+    assert touched.parts == touched.scope and len(touched.parts) == 1 and touched.metrics == {"update": "1"}
+    assert store.changes("t", after=0).columns == ["k", "v", "_change_type", "_commit_version", "_commit_timestamp"]
+    store.replace("t", frame(spark, [(1, "z")]), 2)
+    assert [tuple(r) for r in store.read("t").collect()] == [(1, "z")]
+    store.create("whole", frame(spark, []).schema)
+    with pytest.raises(ValueError, match="dealt"):
+        store.amend("whole", None, None, "MERGE")
