@@ -216,6 +216,8 @@ def oracle_sql() -> dict[str, str]:
         "distinct_keys": _sql("SELECT DISTINCT customer_id AS k FROM silver_c WHERE NOT is_deleted"),
         "count_filtered": _sql("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (_batch_id = 'b2') AS BIGINT) AS second FROM raw_o"),
         "ops_rows_per_batch": _sql("SELECT _batch_id AS batch_id, order_status, CAST(count(*) AS BIGINT) AS n FROM raw_o GROUP BY ALL ORDER BY n DESC, batch_id, order_status LIMIT 10"),
+        "ops_rows_per_file": _sql("SELECT 'orders_' || strftime(order_date, '%Y-%m') || '.csv' AS source_file, CAST(count(*) AS BIGINT) AS n FROM raw_o GROUP BY ALL ORDER BY n DESC, source_file LIMIT 10"),
+        "ops_rows_since": "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE ts >= epoch_ms(1706500000000 - 60000) GROUP BY ALL",
         "recent_window_filter": "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 6 HOURS",
         "dq_not_null": _own("customers", "not_null", "email", "email IS NULL", shown="rule, col"),
         "dq_string_length": _rule("customers", "customer_name"),

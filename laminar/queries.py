@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from laminar.functions.rules import annotate, predicates, violation
 from laminar.operators import checks, quality_report, state, survive
 from laminar.plans import dashboard, gold, reconcile
-from laminar.plans.manifest import latest_manifest
+from laminar.plans.manifest import latest_manifest, most_rows, since
 from laminar.sources import adapters, files
 from laminar.sources.store import Store, shared_dir
 from laminar.specs import CUSTOMERS, ORDERS, PRODUCTS, Entity, Rule, constraints, orders_entity, rules_json, with_rules
@@ -195,6 +195,20 @@ def ops_rows_per_batch(x: Layers) -> DataFrame:
     return rows.orderBy(F.desc("n"), "_batch_id", "order_status").limit(10).withColumnRenamed("_batch_id", "batch_id")
 
 
+@query
+def ops_rows_per_file(x: Layers) -> DataFrame:
+    """The files with most rows, where a month of orders came in each file."""
+    filed = x.raw("orders").withColumn("_source_file", F.concat(F.lit("orders_"), F.date_format("order_date", "yyyy-MM"), F.lit(".csv")))
+    return most_rows(filed, "_source_file").withColumnRenamed("_source_file", "source_file")
+
+
+@query
+def ops_rows_since(x: Layers) -> DataFrame:
+    """Rows of a run's window, whose start is in milliseconds."""
+    events = x.spark.read.parquet(f"{x.sf_dir}/events.parquet")
+    return since(events, "ts", 1_706_500_000_000).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query
 def recent_window_filter(x: Layers) -> DataFrame:
     events = x.spark.read.parquet(f"{x.sf_dir}/events.parquet")
