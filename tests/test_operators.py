@@ -189,3 +189,42 @@ def test_ingest_hashes_customers_only(spark):
     c = survive.ingested(spark.createDataFrame([], CUSTOMERS.schema), CUSTOMERS, "b", at)
     p = survive.ingested(spark.createDataFrame([], PRODUCTS.schema), PRODUCTS, "b", at)
     assert "_row_hash" in c.columns and "_row_hash" not in p.columns
+
+
+def exchanges(df):
+    """The rows' exchanges by hash in a plan, before any of it has run."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_keys_by_bit_and_by_join_say_the_same(spark, monkeypatch):
+    keys = [None, 0, 1, -1, 63, 64, -64, -65, 2**31 - 1, -(2**31), 77]
+    child = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
+    parent = spark.createDataFrame([(0, False), (-1, False), (64, False), (64, False), (-65, False), (2**31 - 1, False), (-(2**31), False), (77, True), (None, False)], "p int, _is_deleted boolean")
+    want = {None: False, 0: False, 1: True, -1: False, 63: True, 64: False, -64: True, -65: False, 2**31 - 1: False, -(2**31): False, 77: True}
+    by_bit = checks.with_lost(child, "k", parent, "p", "lost")
+    assert {r["k"]: r["lost"] for r in by_bit.collect()} == want and by_bit.count() == len(keys)
+    monkeypatch.setattr(checks, "WORDS", 1)
+    assert {r["k"]: r["lost"] for r in checks.with_lost(child, "k", parent, "p", "lost").collect()} == want
+    text = checks.with_lost(child.withColumn("k", F.col("k").cast("string")), "k", parent.withColumn("p", F.col("p").cast("string")), "p", "lost")
+    assert {r["k"] and int(r["k"]): r["lost"] for r in text.collect()} == want
+
+
+def test_rows_are_dealt_once_and_before_they_are_hashed(spark):
+    """Checks, ranks and hash of a delivery: one exchange of its rows; the small one is the number of each delivery, the rest are words of keys."""
+    tagged = annotated(spark, orders(spark, [order(1), order(2)]), parents(spark))
+    plan = survive.split(tagged, ORDERS).failed._jdf.queryExecution().executedPlan().toString()
+    rows = [x for x in plan.splitlines() if "Exchange hashpartitioning(order_id" in x]
+    below = plan[plan.index(rows[0]) :]
+    assert len(rows) == 1 and "sha2" not in below and "Exchange hashpartitioning(customer_id" not in plan and "Exchange hashpartitioning(product_id" not in plan
+
+
+def test_upserts_leave_rows_that_lie_by_their_key(spark):
+    made = silver(spark, [order(1), order(2)])
+    apart = exchanges(made)
+    assert exchanges(state.upsert(made, made, ORDERS)) <= 2 * apart
+
+
+def test_ranks_of_copies_within_and_over_deliveries(spark):
+    rows = [order(1, batch="b1", at="2024-01-01"), order(1, batch="b1", at="2024-01-01"), order(1, batch="a2", at="2024-01-02"), order(1, batch="a2", at="2024-01-02"), order(2, batch=None, at="2024-01-03")]
+    got = sorted((r["order_id"], r["_batch_id"] or "", r["_delivery_rank"], r["_pk_rank"]) for r in survive.ranked(orders(spark, rows), ORDERS).collect())
+    assert got == [(1, "a2", 1, 1), (1, "a2", 2, 2), (1, "b1", 1, 3), (1, "b1", 2, 4), (2, "", 1, 1)]
