@@ -309,3 +309,41 @@ def test_merges_leave_other_parts_alone(spark, store):
     store.create("whole", frame(spark, []).schema)
     with pytest.raises(ValueError, match="dealt"):
         store.amend("whole", None, None, "MERGE")
+
+
+def test_appends_compute_their_rows_once(spark, store):
+    """Whether there is a row is seen in what was written; hashes are written with a codec that halves them."""
+    import glob
+
+    store.create("t", frame(spark, []).schema)
+    seen = spark.sparkContext.accumulator(0)
+    rows = frame(spark, [(k, "a") for k in range(8)]).coalesce(1).filter(F.udf(lambda k: (seen.add(1), True)[1], "boolean")("k"))
+    assert store.append("t", rows) == 0 and seen.value == 8
+    assert store.append("t", rows.filter("k > 100")) is None and store.current_version("t") == 0
+    files_ = glob.glob(f"{store.root.removeprefix('file://')}/t/data/*/*.parquet")
+    assert files_ and all(f.endswith(".zstd.parquet") for f in files_)
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark, store):
+    from laminar.sources import store as module
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with module.tidy(spark), module.tidy(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == before and not module._HELD
+
+
+def test_waves_run_what_a_query_reads(spark, sf_dir):
+    """Bronze alone for its feed, all of it for gold; flags of children are refreshed once for all their parents."""
+    from laminar import queries
+
+    x = queries.Layers(spark, sf_dir)
+    feed = queries.QUERIES["wave_change_feed"](x)
+    p = x.waves[0][1]
+    assert feed.count() == p.store.changes("bronze/orders", after=0).count() > 0
+    assert p.store.current_version("bronze/customers") is None and p.store.current_version("silver/orders") is None
+    full = x.wave()
+    assert full is not p and x.wave(queries.SILVER) is full and full.store.exists("gold/sales_by_product")
+    assert x.wave(queries.BRONZE, ("orders",)) is p
+    assert [c.user_metadata for c in full.store.commits("silver/orders") if c.operation == "REFRESH ORPHANS"] == ["after customers, products"]
