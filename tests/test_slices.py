@@ -28,7 +28,7 @@ def test_a_key_lies_in_one_run(cut):
 
 @pytest.mark.parametrize(
     "name",
-    ["delivery_rank", "survivorship_rank", "split_failed", "split_passed", "split_superseded", "upsert_actions", "upsert_result", "qualifying_orders", "recon_full_outer_diff", "dash_filter_segment", "gold_customer_segmentation", "gold_input_breakdown"],
+    ["delivery_rank", "survivorship_rank", "split_failed", "split_passed", "split_superseded", "upsert_actions", "upsert_result", "qualifying_orders", "recon_full_outer_diff", "dash_filter_segment", "gold_customer_segmentation", "gold_input_breakdown", "wave_change_feed", "wave_silver_orders"],
 )
 def test_cut_orders_agree_with_sql(cut, duck, name):  # noqa: F811
     df = queries.QUERIES[name](cut)
