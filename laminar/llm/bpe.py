@@ -31,11 +31,11 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space besides the space and the line's end.
 OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Words in a generation of a memo, and the length beyond which a word isn't kept.
-MEMO, LONG = 700_000, 64
+MEMO, LONG = 400_000, 64
 #: After letters, each of these is a pre-token of its own; so are letters with at most one space before them.
 SIGNS = frozenset(",.;:!?")
-#: Texts are encoded in runs of at most so many code points, so that memory stays bounded whatever the batch holds.
-RUN = 4_000_000
+#: Texts are encoded in runs of at most so many rows and code points, so that memory stays bounded whatever the batch holds.
+ROWS, RUN = 256, 4_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -95,7 +95,7 @@ def tokenizer_from_file(path: str):
 
 
 class Memo(dict):
-    """word -> made(ids of prefix + word); two generations of at most MEMO words, so that frequent words stay."""
+    """word -> made(ids of prefix + word); two generations of at most MEMO words, so that frequent words stay. A word takes some 200 bytes."""
 
     def __init__(self, tokenizer, prefix: str, made):
         super().__init__()
@@ -231,10 +231,13 @@ def decode(encoded: DataFrame, path: str, pattern: str | None = None) -> DataFra
 
 
 def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
-    at = 0
-    for run in runs(batch.column(1).to_pylist()):
-        yield at, run
-        at += len(run)
+    """Runs of a batch's texts with where they begin. Texts leave Arrow a few rows at a time: as strings they may take four times as much."""
+    column = batch.column(1)
+    for first in range(0, len(column), ROWS):
+        at = first
+        for run in runs(column.slice(first, ROWS).to_pylist()):
+            yield at, run
+            at += len(run)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:

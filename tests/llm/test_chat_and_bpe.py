@@ -164,3 +164,14 @@ def test_main_path_is_native(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.read_back(chat.format_turns(chat.canonical_turns(df.withColumn("c", F.lit(1)))))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_texts_leave_a_batch_a_few_rows_at_a_time():
+    import pyarrow as pa
+
+    texts = [None if k % 7 == 0 else f"text {k}" for k in range(3 * bpe.ROWS + 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t or "" for t in texts])], ["doc_id", "text"])
+    found = list(bpe._sliced(batch))
+    assert max(len(run) for _, run in found) <= bpe.ROWS
+    assert [t for _, run in found for t in run] == [t or "" for t in texts]
+    assert all(run == batch.column(1).slice(at, len(run)).to_pylist() for at, run in found)
