@@ -347,3 +347,47 @@ def test_waves_run_what_a_query_reads(spark, sf_dir):
     assert full is not p and x.wave(queries.SILVER) is full and full.store.exists("gold/sales_by_product")
     assert x.wave(queries.BRONZE, ("orders",)) is p
     assert [c.user_metadata for c in full.store.commits("silver/orders") if c.operation == "REFRESH ORPHANS"] == ["after customers, products"]
+
+
+def test_a_failed_refresh_of_flags_is_an_error(spark, tmp_path, monkeypatch):
+    """Another writer keeps a wave from refreshing the flags: the wave fails, gold isn't built of stale flags, and the manifest says so. A repeated wave makes it good."""
+    p = Pipeline(spark, f"file://{tmp_path}")
+    p.bootstrap()
+    small = {"customers": 800, "products": 120, "orders": 2000}
+    deliver(p, generator.seed_delivery(spark, 7, small), "1")
+    p.run_wave(layers=("bronze", "silver"))
+    deliver(p, generator.delta_delivery(spark, 7, small), "2")
+    amend = Store.amend
+
+    def conflicting(self, table, plan, make, operation, *rest, **more):
+        if operation == "REFRESH ORPHANS":
+            raise ConflictError(table)
+        return amend(self, table, plan, make, operation, *rest, **more)
+
+    def told():
+        return {r["entity_name"]: r["status"] for r in latest_manifest(p.store.read("ops/manifest").filter("layer = 'silver'")).collect()}
+
+    monkeypatch.setattr(Store, "amend", conflicting)
+    with pytest.raises(ConflictError, match="silver/orders"):
+        p.run_wave()
+    with pytest.raises(ConflictError, match="silver/orders"):
+        p.conform("customers")
+    monkeypatch.undo()
+    assert told() == {"customers": "failed", "products": "failed", "orders": "success"} and not p.store.exists("gold/sales_by_product")
+    assert p.run_wave()["silver.products"]["healed"] > 0 and {*told().values()} == {"success"}
+    for flag in (True, False):
+        assert reconcile.orphans_wrongly(p.parent("orders"), {n: p.parent(n) for n in ("customers", "products")}, ORDERS, flag).first()[0] == 0
+    assert p.store.exists("gold/sales_by_product")
+
+
+def test_a_failed_wave_is_no_result(spark, sf_dir, monkeypatch):
+    from laminar import queries
+
+    def failing(self, *changed):
+        raise RuntimeError("no flags")
+
+    x = queries.Layers(spark, sf_dir)
+    monkeypatch.setattr(Pipeline, "refresh_orphans", failing)
+    with pytest.raises(RuntimeError, match="no flags"):
+        queries.QUERIES["wave_silver_orders"](x)
+    assert x.waves == []
